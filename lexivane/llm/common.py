@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many rows may be broadcast; beyond it the join is shuffled with salted keys.
@@ -18,6 +18,9 @@ SALTS = 16
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
+#: Stands for a null id while rows are in Python, where a column of whole numbers has no nulls.
+NO_ID = -(1 << 63)
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -72,5 +75,19 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, limi
     return dealt.join(salted, [*on, "_salt"], "left").drop("_salt")
 
 
+def id_in(name: str) -> Column:
+    """An id column for Python code."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def id_out(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.nullif(F.col(name), F.lit(NO_ID)))
+
+
+def text_in(name: str) -> Column:
+    """A text column for Python code: null is empty."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filters
+from . import quality_rules, token_counts, token_store, url_filters
 from .common import read
 
 
@@ -21,8 +21,25 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(read(spark, sf_dir, "pages"), labels)
 
 
+def vocabulary(name: str) -> str:
+    """A public vocabulary's place; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_steps=False).drop("steps")
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
+    "op4_token_store": op4_token_store,
     "op10_url_filters": op10_url_filters,
 }
 
