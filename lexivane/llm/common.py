@@ -18,6 +18,9 @@ SALTS = 16
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
+#: A list of at most this many ids may be broadcast to filter rows by it.
+BROADCAST_IDS = 1_000_000
+
 #: Stands for a null id while rows are in Python, where a column of whole numbers has no nulls.
 NO_ID = -(1 << 63)
 
@@ -75,6 +78,11 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, limi
     return dealt.join(salted, [*on, "_salt"], "left").drop("_salt")
 
 
+def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df with a broadcast hint if its counted rows are at most limit."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def id_in(name: str) -> Column:
     """An id column for Python code."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))

@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts, token_store, url_filters
+from . import ngram_join, quality_rules, sentencepieces, token_counts, token_store, url_filters
 from .common import read
 
 
+def op1_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("url_key"), bad.alias("bad"))
@@ -37,9 +45,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepieces": op1_sentencepieces,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_token_store": op4_token_store,
+    "op5_ngram_join": op5_ngram_join,
     "op10_url_filters": op10_url_filters,
 }
 
