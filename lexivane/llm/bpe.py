@@ -69,7 +69,7 @@ class RankedBpe:
     def prefix_counts(self, data: bytes) -> list[int]:
         """Token count of data[:i] for i = 0 .. len(data); every token that ends somewhere comes from one automaton."""
         fits = self.fits
-        if len(fits) > 2_000_000:
+        if len(fits) > 500_000:
             fits.clear()
         last, counts, done = [-1], [0], 0
         for at, (token, n) in self.finder.iter(data.decode("latin-1")):

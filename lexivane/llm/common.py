@@ -97,5 +97,25 @@ def text_in(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+class Recent(dict):
+    """A cache of bounded size for worker processes: keeps at least the last `size` keys it got, at most twice as many."""
+
+    def __init__(self, size: int):
+        self.size, self.older = size, {}
+
+    def __missing__(self, key):
+        """The older value, which becomes a recent one; else None."""
+        value = self.older.pop(key, None)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -33,7 +33,7 @@ from .files import make_dir, read_bytes, write_bytes
 WINDOW, NEEDED, LEAST = 8, 6, 4
 BLOCK_ITEMS = 10_000
 #: Words whose canonical form a worker keeps.
-CACHE = 800_000
+CACHE = 300_000
 UNITS = frozenset(
     "kg g mg lb lbs oz km m cm mm mi ft in mph kmh l ml s ms min h hr hrs sec secs second seconds minute minutes hour hours day days week weeks month months"
     " year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds"

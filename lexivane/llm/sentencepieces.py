@@ -22,11 +22,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import id_in, id_out, text_in
+from .common import Recent, id_in, id_out, text_in
 
 SPACE = "▁"
 #: Units whose ids a worker keeps, and characters indexed at once.
-CACHE, INDEX_CHARS = 800_000, 1_000_000
+CACHE, INDEX_CHARS = 300_000, 400_000
+#: Edges that are relaxed, and pairs of pieces whose fit a worker keeps.
+AT_ONCE, FITS = 200_000, 500_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Ends every unit in the index; a private-use character without a piece.
 _END = "\U0010fffd"
@@ -51,13 +53,14 @@ class Vocabulary:
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.longest = max(map(len, self.pieces))
         self.fits: dict[int, bool] = {}
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = Recent(CACHE)
         order = sorted(self.pieces)
         self.order = np.array([self.pieces[p] for p in order])
         self.lengths = np.array([len(p) for p in order])
         self.codes = np.zeros((len(order), self.longest), dtype=np.int64)
         for k, p in enumerate(order):
-            self.codes[k, : len(p)] = [ord(c) + 1 for c in p]
+            self.codes[k, : len(p)] = [ord(c) for c in p]
+        self.alphabet = np.unique(self.codes[self.codes > 0])
 
     def merge(self, text: str) -> list[str]:
         """Pieces by merging the pair of best score, leftmost first: the rule itself, for borders and tests."""
@@ -92,44 +95,60 @@ class Vocabulary:
 
     # -- suffix array -----------------------------------------------------------------------
 
-    def _suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Places sorted by the text that starts there, compared as deep as the longest piece."""
-        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-        depth = 1
-        while depth < self.longest:
-            after = np.zeros_like(rank)
-            after[:-depth] = rank[depth:] + 1
-            key = rank * (len(rank) + 2) + after
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            depth *= 2
-        return np.argsort(rank, kind="stable")
-
-    def _ranges(self, codes: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every piece, where the suffixes that start with it begin and end in the array."""
-        padded = np.concatenate([codes + 1, np.zeros(self.longest, dtype=np.int64)])
-        wide = np.arange(self.longest)
-        mask = wide[None, :] < self.lengths[:, None]
+    def _index_text(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix array, as deep as the longest piece, and each piece's range in it.
+
+        Characters that some piece has are numbered, and as many numbers as go into 64 bits are one
+        key, so suffixes and pieces are compared a few keys at a time.
+        """
+        alphabet = np.intersect1d(codes, self.alphabet)
+        bits = max(1, int(len(alphabet) + 1).bit_length())
+        each = 64 // bits
+        at = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+        dense = np.where(alphabet[at] == codes, at + 1, len(alphabet) + 1).astype(np.uint64) if len(alphabet) else np.ones(len(codes), dtype=np.uint64)
+        depth = -(-self.longest // each) * each
+        dense = np.concatenate([dense, np.zeros(depth, dtype=np.uint64)])
+        keys = []
+        for start in range(0, depth, each):
+            key = np.zeros(len(codes), dtype=np.uint64)
+            for k in range(start, start + each):
+                key = key << np.uint64(bits) | dense[k : k + len(codes)]
+            keys.append(key)
+        array = np.lexsort(keys[::-1])
+        keys = [k[array] for k in keys]
+        # pieces with a character that the text lacks are nowhere in it
+        have = np.where(self.codes > 0, np.isin(self.codes, alphabet), True).all(axis=1)
+        rows = np.flatnonzero(have)
+        own = np.where(self.codes[rows] > 0, np.searchsorted(alphabet, self.codes[rows]) + 1, 0).astype(np.uint64)
+        own = np.hstack([own, np.zeros((len(rows), depth - self.longest), dtype=np.uint64)])
+        filler = np.where(np.arange(depth)[None, :] < self.lengths[rows][:, None], own, np.uint64((1 << bits) - 1))
         found = []
-        for upper in (False, True):
-            low, high = np.zeros(len(self.order), dtype=np.int64), np.full(len(self.order), len(array))
+        for want, upper in ((own, False), (filler, True)):
+            parts = []
+            for start in range(0, depth, each):
+                key = np.zeros(len(rows), dtype=np.uint64)
+                for k in range(start, start + each):
+                    key = key << np.uint64(bits) | want[:, k]
+                parts.append(key)
+            low, high = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), len(array))
             while (open_ := np.flatnonzero(low < high)).size:
                 mid = (low[open_] + high[open_]) // 2
-                have = np.where(mask[open_], padded[array[mid][:, None] + wide], 0)
-                want = self.codes[open_]
-                differ = have != want
-                at = differ.argmax(axis=1)
-                row = np.arange(len(open_))
-                less = have[row, at] < want[row, at]
-                go = less | (~differ.any(axis=1) if upper else False)
+                less, same = np.zeros(len(open_), dtype=bool), np.ones(len(open_), dtype=bool)
+                for text, part in zip(keys, parts):
+                    x, y = text[mid], part[open_]
+                    less |= same & (x < y)
+                    same &= x == y
+                go = less | same if upper else less
                 low[open_[go]] = mid[go] + 1
                 high[open_[~go]] = mid[~go]
-            found.append(low)
-        return found[0], found[1]
+            whole = np.zeros(len(self.order), dtype=np.int64)
+            whole[rows] = low
+            found.append(whole)
+        return array, found[0], found[1]
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and piece (-1: a character without one) of every occurrence, by end, the longest first."""
-        array = self._suffixes(codes)
-        low, high = self._ranges(codes, array)
+        array, low, high = self._index_text(codes)
         n = high - low
         which = np.repeat(np.arange(len(n)), n)
         starts = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -143,26 +162,28 @@ class Vocabulary:
         by = np.argsort(ends * (len(codes) + 1) + starts)
         return starts[by], ends[by], pieces[by]
 
-    def _index(self, units: list[str]) -> None:
-        """Encodes new units together and keeps their ids."""
+    def _index(self, units: list[str], out: dict[str, bytes]) -> None:
+        """Encodes units together; puts their ids into out."""
         text = "".join(u + _END for u in units)
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
         fits = self.fits
-        if len(fits) > 2_000_000:
+        if len(fits) > FITS:
             fits.clear()
         last, origin, done = [-1] * (len(codes) + 1), [0] * (len(codes) + 1), 0
-        for start, end, piece in zip(*(x.tolist() for x in self._edges(codes))):
-            if end <= done:
-                continue
-            before = last[start]
-            if before >= 0 and piece >= 0:
-                key = before << 32 | piece
-                ok = fits.get(key)
-                if ok is None:
-                    ok = fits[key] = self.fit(before, piece)
-                if not ok:
+        edges = self._edges(codes)
+        for k in range(0, len(edges[0]), AT_ONCE):
+            for start, end, piece in zip(*(x[k : k + AT_ONCE].tolist() for x in edges)):
+                if end <= done:
                     continue
-            last[end], origin[end], done = piece, start, end
+                before = last[start]
+                if before >= 0 and piece >= 0:
+                    key = before << 32 | piece
+                    ok = fits.get(key)
+                    if ok is None:
+                        ok = fits[key] = self.fit(before, piece)
+                    if not ok:
+                        continue
+                last[end], origin[end], done = piece, start, end
         at = 0
         for u in units:
             end, ids = at + len(u), []
@@ -173,7 +194,7 @@ class Vocabulary:
                 else:
                     ids += [self.byte[b] for b in reversed(text[end - 1].encode())]
                 end = origin[end]
-            self.kept[u] = np.array(ids[::-1], dtype=np.int32).tobytes()
+            out[u] = np.array(ids[::-1], dtype=np.int32).tobytes()
             at += len(u) + 1
 
     # -- encoding and decoding --------------------------------------------------------------
@@ -189,19 +210,28 @@ class Vocabulary:
         return [SPACE + p for p in whole[1:].split(SPACE)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        kept, parts = self.kept, [self.units(t) for t in texts]
+        parts = [self.units(t) for t in texts]
+        have: dict[str, bytes] = {}
         new, size = [], 0
-        for u in {u for p in parts for u in p if u not in kept}:
+        for u in {u for p in parts for u in p}:
+            known = self.kept[u]
+            if known is not None:
+                have[u] = known
+                continue
             new.append(u)
             size += len(u) + 1
             if size >= INDEX_CHARS:
-                self._index(new)
+                self._learn(new, have)
                 new, size = [], 0
         if new:
-            self._index(new)
-        return [np.frombuffer(b"".join([kept[u] for u in p]), dtype=np.int32) for p in parts]
+            self._learn(new, have)
+        return [np.frombuffer(b"".join([have[u] for u in p]), dtype=np.int32) for p in parts]
+
+    def _learn(self, units: list[str], have: dict[str, bytes]) -> None:
+        self._index(units, have)
+        for u in units:
+            if len(u) <= 64:
+                self.kept.put(u, have[u])
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -225,8 +255,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = vocabulary(path)
         for b in batches:
-            for at in range(0, len(b), 4096):
-                part = b.iloc[at : at + 4096]
+            for at in range(0, len(b), 2048):
+                part = b.iloc[at : at + 2048]
                 rows = []
                 for i, text, ids in zip(part["id"].tolist(), part["text"].tolist(), own.encode(part["text"].tolist())):
                     rows.append((i, ids, len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text.replace(SPACE, " ")))

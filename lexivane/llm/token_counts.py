@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .bpe import RankedBpe
-from .common import id_in, id_out, text_in
+from .common import Recent, id_in, id_out, text_in
 
-#: Units whose steps a worker keeps; beyond it the cache starts anew.
-CACHE = 600_000
+#: Units whose steps a worker keeps; older ones go.
+CACHE = 150_000
 BUDGET = 1024
 
 #: White space beside the ASCII kind; texts with it are not cut into units.
@@ -59,12 +59,12 @@ class PrefixCounter:
         self.special = re.compile("(" + "|".join(re.escape(t.content) for t in added) + ")") if added else None
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.run = regex.compile(r"\s{2,}(?=\S)")
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = Recent(CACHE)
+        self.words: dict[str, bytes] = Recent(CACHE)
 
     def _word(self, word: str) -> bytes:
         """The steps of one of the splitter's parts."""
-        got = self.words.get(word)
+        got = self.words[word]
         if got is None:
             data = word.encode()
             counts = self.bpe.prefix_counts(data)
@@ -74,9 +74,7 @@ class PrefixCounter:
                 counts[2] = 2
             got = bytes([(b - a) & 255 for a, b in pairwise(counts)])
             if len(word) <= 64:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = got
+                self.words.put(word, got)
         return got
 
     def _plain(self, text: str) -> bytes:
@@ -105,13 +103,11 @@ class PrefixCounter:
         """One signed byte a character: by how much its prefix counts more than the one before."""
         cache, out = self.cache, []
         for u in units(text):
-            got = cache.get(u)
+            got = cache[u]
             if got is None:
                 got = self._unit(u)
                 if len(u) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[u] = got
+                    cache.put(u, got)
             out.append(got)
         return b"".join(out)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, id_in, id_out, text_in, written
+from .common import Recent, fresh_dir, id_in, id_out, text_in, written
 from .files import make_dir, opened, read_bytes, remove, write_bytes
 from .token_counts import units
 
@@ -41,7 +41,7 @@ WINDOW, MEAN_CHUNK = 16, 512
 MAX_CHUNK = 8192
 PACK_BYTES = 32 << 20
 #: Units whose ids, and chunks whose places, a worker keeps.
-CACHE, SEEN = 800_000, 200_000
+CACHE, SEEN = 250_000, 100_000
 
 _GEAR = np.random.default_rng(4).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -56,18 +56,24 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = Recent(CACHE)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        kept, parts = self.kept, [units(t) for t in texts]
-        new = list({u for p in parts for u in p if u not in kept})
+        parts = [units(t) for t in texts]
+        have, new = {}, []
+        for u in {u for p in parts for u in p}:
+            known = self.kept[u]
+            if known is None:
+                new.append(u)
+            else:
+                have[u] = known
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                kept[u] = np.array(e.ids, dtype=self.kind).tobytes()
-        return [np.frombuffer(b"".join([kept[u] for u in p]), dtype=self.kind) for p in parts]
+                have[u] = np.array(e.ids, dtype=self.kind).tobytes()
+                if len(u) <= 64:
+                    self.kept.put(u, have[u])
+        return [np.frombuffer(b"".join([have[u] for u in p]), dtype=self.kind) for p in parts]
 
 
 _encoders: dict[str, CachedEncoder] = {}
