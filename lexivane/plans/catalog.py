@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from . import lexical_queries, relational_queries, retrieval_queries  # noqa: F401  they register
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "hybrid_docs"
