@@ -59,7 +59,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
+    return token_store.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,7 +2,7 @@
 
 A rolling hash over each document's ids sets chunk borders by content, so equal passages give
 equal chunks. Tasks write new chunks to pack files; of chunks that several tasks wrote, one
-place stays, and the packs that hold the others are written anew without them. Recipe files list
+place stays: the tasks' raw packs (compressed as a whole) become final packs without the others. Recipe files list
 the documents in ascending id order with the digests and places of their chunks; a Merkle tree
 over the documents of each recipe file, and over the files, goes to the manifest. The reader
 fetches chunks by place, checks every digest and every root, and yields the ids.
@@ -27,11 +27,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, fresh_dir, id_in, id_out, text_in, written
+from .common import fresh_dir, id_in, id_out, text_in, written
 from .files import make_dir, opened, read_bytes, remove, write_bytes
 from .token_counts import units
 
@@ -41,7 +42,7 @@ WINDOW, MEAN_CHUNK = 16, 512
 MAX_CHUNK = 8192
 PACK_BYTES = 32 << 20
 #: Units whose ids, and chunks whose places, a worker keeps.
-CACHE, SEEN = 250_000, 100_000
+CACHE, SEEN = 450_000, 100_000
 
 _GEAR = np.random.default_rng(4).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -56,24 +57,37 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.kept: dict[str, bytes] = Recent(CACHE)
+        self.kept: dict[str, bytes] = {}
+        # a special string of the vocabulary: nothing reaches across it, so it can stand between units
+        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+        self.between, self.mark = next(iter(added.items()), ("", -1))
+        self.special = list(added)
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Many units as one text with the mark between them; the ids are cut at the mark."""
+        if not self.between:
+            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+        ids = np.array(self.library.encode_batch_fast([self.between.join(units)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        data, width, ends = ids.tobytes(), self.kind.itemsize, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+        return [data[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [units(t) for t in texts]
-        have, new = {}, []
-        for u in {u for p in parts for u in p}:
-            known = self.kept[u]
-            if known is None:
-                new.append(u)
-            else:
-                have[u] = known
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                have[u] = np.array(e.ids, dtype=self.kind).tobytes()
-                if len(u) <= 64:
-                    self.kept.put(u, have[u])
-        return [np.frombuffer(b"".join([have[u] for u in p]), dtype=self.kind) for p in parts]
+        if len(self.kept) > CACHE:
+            self.kept.clear()
+        kept, parts = self.kept, [units(t) for t in texts]
+        new = list({u for p in parts for u in p if u not in kept})
+        plain = [u for u in new if not any(s in u for s in self.special)]
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            kept.update(zip(part, self._encode_units(part), strict=True))
+        if len(plain) < len(new):
+            for u in set(new) - set(plain):
+                kept[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        out = [np.frombuffer(b"".join([kept[u] for u in p]), dtype=self.kind) for p in parts]
+        for u in new:
+            if len(u) > 64:  # long ones seldom come again
+                del kept[u]
+        return out
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -117,7 +131,7 @@ class _Pack:
     """Chunks on their way to pack files."""
 
     def __init__(self, folder: str):
-        self.folder, self.parts, self.size, self.name = folder, [], 0, f"{uuid.uuid4().hex}.pack"
+        self.folder, self.parts, self.size, self.name = folder, [], 0, f"{uuid.uuid4().hex}.raw"
 
     def add(self, data: bytes) -> tuple[str, int]:
         if self.size >= PACK_BYTES:
@@ -129,8 +143,8 @@ class _Pack:
 
     def close(self) -> None:
         if self.parts:
-            write_bytes(f"{self.folder}/{self.name}", b"".join(self.parts))
-        self.parts, self.size, self.name = [], 0, f"{uuid.uuid4().hex}.pack"
+            write_bytes(f"{self.folder}/{self.name}", zstandard.ZstdCompressor(level=1).compress(b"".join(self.parts)))
+        self.parts, self.size, self.name = [], 0, f"{uuid.uuid4().hex}.raw"
 
 
 _ENCODED = "doc_id long, n_ids long, digests array<binary>, new array<struct<digest: binary, pack: string, at: long, size: int>>"
@@ -164,24 +178,18 @@ def _encode(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
 
 def _compact(places: DataFrame, folder: str) -> DataFrame:
-    """places: digest, pack, at, size, keep. Writes packs with chunks to drop anew; returns digest, pack, at, size."""
+    """places: digest, pack, at, size, keep. Writes each pack's chunks to keep to its final pack; returns digest, pack, at, size."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates(["at"]).sort_values("at")
-        if not b["keep"].all():
-            old = f"{folder}/{b['pack'].iloc[0]}"
-            b = b[b["keep"]].copy()
-            data, parts, at = read_bytes(old) if len(b) else b"", [], []
-            size = 0
-            for start, n in zip(b["at"].tolist(), b["size"].tolist()):
-                parts.append(data[start : start + n])
-                at.append(size)
-                size += n
-            name = f"{uuid.uuid4().hex}.pack"
-            if parts:
-                write_bytes(f"{folder}/{name}", b"".join(parts))
-            b["at"], b["pack"] = at, name
-        return b[["digest", "pack", "at", "size"]]
+        raw = b["pack"].iloc[0]
+        b = b[b["keep"]].drop_duplicates(["at"]).sort_values("at")
+        data = zstandard.ZstdDecompressor().decompress(read_bytes(f"{folder}/{raw}")) if len(b) else b""
+        parts = [data[start : start + n] for start, n in zip(b["at"].tolist(), b["size"].tolist())]
+        name = f"{uuid.uuid4().hex}.pack"
+        if parts:
+            write_bytes(f"{folder}/{name}", b"".join(parts))
+        sizes = b["size"].to_numpy()
+        return pd.DataFrame({"digest": b["digest"], "pack": name, "at": sizes.cumsum() - sizes, "size": sizes})
 
     return places.groupBy("pack").applyInPandas(run, "digest binary, pack string, at long, size int")
 
@@ -225,7 +233,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
     ordered = found.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     # one row a recipe file
     made = sorted(written(_recipes(ordered, folder), "recipes").collect(), key=lambda r: (r["first"], r["name"]))
-    for pack in packs.groupBy("pack").agg(F.min("keep").alias("whole")).where("NOT whole").toLocalIterator():
+    for pack in packs.select("pack").distinct().toLocalIterator():
         remove(f"{folder}/{pack['pack']}")
     start, files = 0, []
     for r in made:
@@ -262,8 +270,8 @@ class _Chunks:
         return data
 
 
-def read_store(spark: SparkSession, manifest: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array<int>), ids_crc32: one row a document, all digests and roots checked."""
+def read_store(spark: SparkSession, manifest: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids (array<int>; null without with_ids), ids_crc32: one row a document, all digests and roots checked."""
     folder = manifest.rpartition("/")[0]
     told = json.loads(read_bytes(manifest))
     if merkle([bytes.fromhex(f["root"]) for f in told["files"]]).hex() != told["root"]:
@@ -286,10 +294,10 @@ def read_store(spark: SparkSession, manifest: str) -> DataFrame:
                     rows.append((doc_id, start, n, ids.astype("<u4")))
                     start += n
                     if len(rows) == 512:
-                        yield _frame(rows)
+                        yield _frame(rows, with_ids)
                         rows = []
                 if rows:
-                    yield _frame(rows)
+                    yield _frame(rows, with_ids)
 
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.LongType()), T.StructField("root", T.StringType())])
     files = spark.createDataFrame([(f["name"], f["start"], f["root"]) for f in told["files"]], schema)
@@ -298,11 +306,11 @@ def read_store(spark: SparkSession, manifest: str) -> DataFrame:
     return id_out(files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long"), "doc_id")
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame([(*r[:3], r[3].astype(np.int32), zlib.crc32(r[3].tobytes())) for r in rows], columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+def _frame(rows: list, with_ids: bool) -> pd.DataFrame:
+    return pd.DataFrame([(*r[:3], r[3].astype(np.int32) if with_ids else None, zlib.crc32(r[3].tobytes())) for r in rows], columns=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """Writes the store to a folder in the shared one, and reads it back."""
     spark = docs.sparkSession
-    return read_store(spark, write_store(docs, tokenizer, folder or fresh_dir(spark, "token-store")))
+    return read_store(spark, write_store(docs, tokenizer, folder or fresh_dir(spark, "token-store")), with_ids)
