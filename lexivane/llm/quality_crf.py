@@ -135,7 +135,7 @@ class Crf:
             single, _ = marginals(np.stack([-good / 2, good / 2], axis=1), self.trans, counts)
             weight = np.maximum(sizes, 1)
             first = np.cumsum(counts) - counts
-            out += np.clip(np.add.reduceat(single[:, 1] * weight, first) / np.add.reduceat(weight, first), 0, 1).tolist()
+            out += np.clip(np.round(np.add.reduceat(single[:, 1] * weight, first) / np.add.reduceat(weight, first), 9), 0, 1).tolist()
         return out
 
 
