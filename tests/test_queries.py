@@ -1,9 +1,9 @@
 """Every registered query against its SQL on the smallest tables."""
 
-import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lexivane.plans import catalog
@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(v):
     if hasattr(v, "item"):
         v = v.item()
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "None"
     return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
 
