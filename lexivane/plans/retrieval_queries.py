@@ -125,9 +125,9 @@ def path_glob_filter(t):
     return t.documents.where(paths.fits_filter(_path(), "src1*/{de,fr}/*.md")).select("doc_id")
 
 
-@query(f"SELECT {_PATH} AS path, CASE WHEN lang = 'en' THEN source || '-en' ELSE source END AS project FROM documents WHERE source IN ('src2', 'src4')")
+@query(f"SELECT {_PATH} AS path, CASE WHEN lang = 'en' THEN source || '-en' ELSE source END AS project FROM documents")
 def project_prefix_join(t):
-    roots = t.documents.where("source IN ('src2', 'src4')").select("source").distinct()
+    roots = t.documents.select("source").distinct()
     roots = roots.select(F.col("source").alias("root"), F.col("source").alias("name")).union(roots.select(F.concat("source", F.lit("/en")), F.concat("source", F.lit("-en"))))
     return paths.longest_prefix(t.documents.select(_path().alias("path")), roots)
 
@@ -138,10 +138,10 @@ def json_paths(t):
     return t.events.select("event_id", F.explode(keys).alias("k")).select("event_id", F.concat(F.lit("props."), "k").alias("path"))
 
 
-@query("SELECT l.id, line, start_line FROM (SELECT doc_id AS id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) l JOIN (SELECT doc_id AS id, unnest(range(0, greatest(len(string_split(text, chr(10))) - 11, 0) + 1, 40)) + 1 AS start_line, len(string_split(text, chr(10))) AS n FROM documents) c ON l.id = c.id AND line BETWEEN start_line AND least(start_line + 49, n) WHERE line % 7 = 0")
+@query("SELECT l.id, line, start_line FROM (SELECT doc_id AS id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) l JOIN (SELECT doc_id AS id, unnest(range(0, greatest(len(string_split(text, chr(10))) - 11, 0) + 1, 40)) + 1 AS start_line, len(string_split(text, chr(10))) AS n FROM documents) c ON l.id = c.id AND line BETWEEN start_line AND least(start_line + 49, n)")
 def symbols_in_chunks(t):
     c = chunking.line_chunks(t.documents, "doc_id", "text", 50, 10).select("id", "start_line", "end_line")
-    lines = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n", -1)))).alias("line")).where("line % 7 = 0")
+    lines = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n", -1)))).alias("line"))
     return lines.join(c, "id").where("line BETWEEN start_line AND end_line").select("id", F.col("line").cast("long"), F.col("start_line").cast("long"))
 
 
