@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,10 @@ PACK_BYTES = 32 << 20
 #: Units whose ids, and chunks whose places, a worker keeps.
 CACHE, SEEN = 450_000, 100_000
 
+#: Printable ASCII without apostrophes after one blank at most, and such units of one kind of character.
+_PLAIN = re.compile(r" ?[!-&(-~]+")
+_ONE_KIND = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+
 _GEAR = np.random.default_rng(4).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
@@ -62,12 +67,34 @@ class CachedEncoder:
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
         self.between, self.mark = next(iter(added.items()), ("", -1))
         self.special = list(added)
-
-    def _encode_units(self, units: list[str]) -> list[bytes]:
+        self.simple = self._without_pattern(path)
+
+    def _without_pattern(self, path: str):
+        """A second encoder that leaves out the word pattern, for plain ASCII units; None where that could change ids.
+
+        The pattern cuts such a unit between letters, digits and other characters. When no token holds
+        two of these kinds, merging never crosses a cut, and cutting changes nothing. Apostrophes are left
+        to the pattern.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        told = json.loads(self.library.to_str())
+        cut = told.get("pre_tokenizer") or {}
+        known = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and told["model"].get("type") == "BPE"
+        if not known or told.get("normalizer") or any(not t["special"] for t in told.get("added_tokens", [])):
+            return None
+        tokens = (t.replace("\u0120", " ") for t in told["model"]["vocab"] if t not in self.special)
+        if any(_PLAIN.fullmatch(t) and not _ONE_KIND.fullmatch(t) for t in tokens):
+            return None
+        simple = Tokenizer.from_file(path)
+        simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return simple
+
+    def _encode_units(self, units: list[str], library) -> list[bytes]:
         """Many units as one text with the mark between them; the ids are cut at the mark."""
         if not self.between:
-            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        ids = np.array(self.library.encode_batch_fast([self.between.join(units)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            return [np.array(e.ids, dtype=self.kind).tobytes() for e in library.encode_batch_fast(units, add_special_tokens=False)]
+        ids = np.array(library.encode_batch_fast([self.between.join(units)], add_special_tokens=False)[0].ids, dtype=self.kind)
         data, width, ends = ids.tobytes(), self.kind.itemsize, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
         return [data[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
@@ -75,15 +102,16 @@ class CachedEncoder:
         if len(self.kept) > CACHE:
             self.kept.clear()
         kept, parts = self.kept, [units(t) for t in texts]
-        new = list({u for p in parts for u in p if u not in kept})
-        plain = [u for u in new if not any(s in u for s in self.special)]
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            kept.update(zip(part, self._encode_units(part), strict=True))
-        if len(plain) < len(new):
-            for u in set(new) - set(plain):
-                kept[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        out = [np.frombuffer(b"".join([kept[u] for u in p]), dtype=self.kind) for p in parts]
+        new = set().union(*parts).difference(kept)
+        odd = {u for u in new if any(s in u for s in self.special)}
+        easy = [u for u in new - odd if _PLAIN.fullmatch(u)] if self.simple else []
+        for library, own in ((self.simple, easy), (self.library, list(new.difference(odd, easy)))):
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                kept.update(zip(part, self._encode_units(part, library), strict=True))
+        for u in odd:
+            kept[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, p)), dtype=self.kind) for p in parts]
         for u in new:
             if len(u) > 64:  # long ones seldom come again
                 del kept[u]
