@@ -299,3 +299,48 @@ def test_bad_templates_are_rejected(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)], "url_key long, bad int")
     got = url_filters.url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels)
     assert {(r["template"], r["verdict"]) for r in got.collect()} == {("/spam/{n}", "block"), ("/news/{n}", "allow")}
+
+
+def near_groups(seed, n, similarity):
+    """Rows with near copies on both sides of the similarity, and their n-gram sets, null and short texts included."""
+    random.seed(seed)
+    rows = []
+    for j, (size, edits) in enumerate([(301, 9), (120, 4), (40, 2), (14, 1)]):
+        for k in range(40):
+            words = [f"b{j}_{i}" for i in range(size)]
+            for _ in range(random.randint(0, edits)):
+                words[random.randrange(size)] = f"w{random.randrange(30)}"
+            rows.append((1000 * j + k, " ".join(words)))
+    rows += [(9000, None), (9001, " "), (9002, "one two"), (9003, "ONE two"), (9004, "x " * 500)]
+    random.shuffle(rows)
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = {i: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for (i, _), w in zip(rows, words)}
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
+    return rows, sets, links
+
+
+def smallest_linked(ids, links):
+    root = {i: i for i in ids}
+    while True:
+        new = dict(root)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            return root
+        root = new
+
+
+@pytest.mark.parametrize(("n", "similarity"), [(5, 0.8), (3, 0.9), (2, 0.65)])
+def test_ngram_join_at_other_similarities(spark, n, similarity):
+    rows, sets, links = near_groups(11, n, similarity)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), n=n, similarity=similarity)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == smallest_linked(sets, links)
+
+
+def test_pipeline_drops_copies_at_five_words_and_0_8(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(301)]
+    near = [f"x{i}" if i in range(20, 300, 50) else w for i, w in enumerate(words)]  # 0.8165 of five words, 0.886 of three
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "another text of its own")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
