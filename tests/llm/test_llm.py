@@ -344,3 +344,18 @@ def test_pipeline_drops_copies_at_five_words_and_0_8(spark):
     near = [f"x{i}" if i in range(20, 300, 50) else w for i, w in enumerate(words)]  # 0.8165 of five words, 0.886 of three
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "another text of its own")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+@pytest.mark.parametrize(("n", "similarity", "block"), [(3, 0.9, 256), (5, 0.8, 7)])
+def test_ngram_join_loses_no_link(spark, monkeypatch, n, similarity, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows, sets, links = near_groups(12, n, similarity)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.jaccard_join(docs, n=n, similarity=similarity).collect()}
+    count, root = Counter(i for ab in links for i in ab), smallest_linked(sets, links)
+    assert got == {i: (root[i], count[i]) for i in sets}
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+    size = Counter(rep.values())
+    want = {(a, b, size[a], size[b]) for a, b in links if rep[a] == a and rep[b] == b}
+    pairs = ngram_join.links(docs, n=n, similarity=similarity).collect()
+    assert len(pairs) == len(want) and {tuple(r) for r in pairs} == want
