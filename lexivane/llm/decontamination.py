@@ -8,6 +8,10 @@ are one alignment. Its slots are then compared: one value of an item must go wit
 of the document throughout, else the windows with slots don't count. A document is contaminated by an item
 when NEEDED windows of an alignment count, or all of a shorter item.
 
+An item's first word begins a sentence there, but in a document it may follow any word and look like a
+name; the item's first window is hashed for both, the second only for the same word. Characters of scripts
+without blanks between words (Chinese, Japanese, Thai and others) are words of their own.
+
 The benchmark is hashed in blocks of BLOCK_ITEMS items, which are files in the shared folder;
 tasks hold one block at a time. Defined cases: a null or empty text holds nothing; a null or empty item is in no
 document; items of fewer than LEAST words are looked for only as a document's whole text; windows that
@@ -41,7 +45,9 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[$€£+-]*\d[\d.,/:]*(?:%|st|nd|rd|th)?")
 _MEASURE = re.compile(r"[$€£+-]*\d[\d.,/:]*([A-Za-z]+)")
-_EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»„“”‘’…`*_|#&-–—"
+#: Scripts that are written without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_EDGES = "。，、？！：；「」『』（）《》〈〉【】・ \t\r\n.,;:!?\"'()[]{}<>«»„“”‘’…`*_|#&-–—"
 #: Low bits of a word's code: its kind, whether it may be a name, whether a sentence ends with it.
 _KIND, _NAME, _END = np.uint64(3), np.uint64(4), np.uint64(8)
 _FLAGS = np.uint64(15)
@@ -71,11 +77,15 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def _same(a: str, b: str) -> bool:
+    return a.strip(_EDGES).lower() == b.strip(_EDGES).lower()
+
+
 def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words, their template hashes, and whether each is a slot."""
     if len(_codes) > CACHE:
         _codes.clear()
-    words = text.split()
+    words = (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
     code = np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
     full = code != 0
     if not full.all():
@@ -101,8 +111,8 @@ def windows(form: np.ndarray, size: int) -> np.ndarray:
 
 
 def _block(items: list[tuple[int, str]]) -> bytes:
-    """Window hashes in order, with item and place; and each item's words and slots."""
-    hashes, owner, place, told = [], [], [], []
+    """Window hashes in order, with item and place, and whether the first word is taken as a name; and each item's words and slots."""
+    hashes, owner, place, named, told = [], [], [], [], []
     for k, (item, text) in enumerate(items):
         words, form, slot = template(text)
         size = min(WINDOW, len(form))
@@ -113,8 +123,16 @@ def _block(items: list[tuple[int, str]]) -> bytes:
         hashes.append(w)
         owner.append(np.full(len(w), k))
         place.append(np.arange(len(w)))
+        named.append(np.zeros(len(w), dtype=bool))
+        if _codes[words[0]] & int(_NAME):
+            other = form[:size].copy()
+            other[0] = np.uint64(_PLACE[3] & ~15)
+            hashes.append(windows(other, size))
+            owner.append(np.full(1, k))
+            place.append(np.zeros(1, dtype=np.int64))
+            named.append(np.ones(1, dtype=bool))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-    h, o, p = join(hashes, np.uint64), join(owner, np.int64), join(place, np.int64)
+    h, o, p, a = join(hashes, np.uint64), join(owner, np.int64), join(place, np.int64), join(named, bool)
     by = np.argsort(h, kind="stable")
     out = io.BytesIO()
     flat = [w for _, words, _, _ in told for w in words]
@@ -123,6 +141,7 @@ def _block(items: list[tuple[int, str]]) -> bytes:
         h=h[by],
         o=o[by],
         p=p[by],
+        a=a[by],
         ids=np.array([t[0] for t in told], dtype=np.int64),
         n=np.array([len(t[1]) for t in told], dtype=np.int64),
         words=np.frombuffer("\n".join(flat).encode(), dtype=np.uint8),
@@ -136,7 +155,7 @@ class Block:
 
     def __init__(self, data: bytes):
         z = np.load(io.BytesIO(data))
-        self.h, self.o, self.p, self.ids, self.n, self.slot = (z[k] for k in ("h", "o", "p", "ids", "n", "slot"))
+        self.h, self.o, self.p, self.a, self.ids, self.n, self.slot = (z[k] for k in ("h", "o", "p", "a", "ids", "n", "slot"))
         self.words = z["words"].tobytes().decode().split("\n")
         self.first = np.cumsum(self.n) - self.n
         self.short = sorted({int(n) for n in self.n if 0 < n < WINDOW})
@@ -159,7 +178,7 @@ class Block:
                 k = int(at[d])
                 while k < len(self.h) and self.h[k] == w[d]:
                     o, p = int(self.o[k]), int(self.p[k])
-                    if min(WINDOW, self.n[o]) == size:
+                    if min(WINDOW, self.n[o]) == size and (not self.a[k] or _same(self.words[int(self.first[o])], words[d])):
                         lines[o, d - p].append(p)
                     k += 1
             for (o, shift), places in lines.items():

@@ -359,3 +359,12 @@ def test_ngram_join_loses_no_link(spark, monkeypatch, n, similarity, block):
     want = {(a, b, size[a], size[b]) for a, b in links if rep[a] == a and rep[b] == b}
     pairs = ngram_join.links(docs, n=n, similarity=similarity).collect()
     assert len(pairs) == len(want) and {tuple(r) for r in pairs} == want
+
+
+def test_decontamination_finds_items_in_any_context(spark):
+    items = ["What is the capital of the country", "What is the longest river that runs through the whole of the old country", "什么是法国的首都", "フランスの首都はどこですか、そしてその人口は何人ですか"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"see exercise {t} and more" for t in items[:2]] + [f"Heading\n{t}" for t in items[:2]] + [f"前文{items[2]}后文", f"前{items[3]}。後"]
+    texts += ["see exercise Alice is the capital of the country and more", "法国的首都是什么"]
+    got = {r["doc_id"]: list(r["items"]) for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [0], 3: [1], 4: [2], 5: [3], 6: [], 7: []}
