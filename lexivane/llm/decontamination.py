@@ -15,7 +15,7 @@ without blanks between words (Chinese, Japanese, Thai and others) are words of t
 The benchmark is hashed in blocks of BLOCK_ITEMS items, which are files in the shared folder;
 tasks hold one block at a time. Defined cases: a null or empty text holds nothing; a null or empty item is in no
 document; items of fewer than LEAST words are looked for only as a document's whole text; windows that
-are mostly placeholders count only in alignments that have others; repeated rows each come back.
+are mostly placeholders count only in alignments that have others, or where all words are the item's; repeated rows each come back.
 """
 
 from __future__ import annotations
@@ -200,7 +200,11 @@ class Block:
         if any(len(v) > 1 for v in pairs.values()):
             return len(plain)
         rich = [p for p in places if 2 * slot[p : p + size].sum() <= size]
-        return len(places) if rich else 0
+        if rich:
+            return len(places)
+        own = self.words[first : first + int(self.n[o])]
+        equal = {q for q in cover if _same(own[q], words[shift + q])}
+        return sum(equal.issuperset(range(p, p + size)) for p in places)
 
 
 def _blocks(benchmark: DataFrame, folder: str, id_col: str, text_col: str) -> list[str]:

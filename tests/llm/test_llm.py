@@ -368,3 +368,11 @@ def test_decontamination_finds_items_in_any_context(spark):
     texts += ["see exercise Alice is the capital of the country and more", "法国的首都是什么"]
     got = {r["doc_id"]: list(r["items"]) for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
     assert got == {0: [0], 1: [1], 2: [0], 3: [1], 4: [2], 5: [3], 6: [], 7: []}
+
+
+def test_decontamination_finds_verbatim_items_of_mere_slots(spark):
+    items = ["What comes next: 1, 1, 2, 3, 5, 8, 13, 21, 34, 55", "Who Wrote The Lord Of The Rings And The Hobbit"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Before it. {items[0]}. After it.", f"quiz night {items[1]}? Answer", "What comes next: 2, 2, 4, 6, 10, 16, 26, 42, 68, 110", "Ann Saw All Men Bob And Eve Had Met In Rome Once"]
+    got = {r["doc_id"]: list(r["items"]) for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [], 3: []}
