@@ -3,7 +3,7 @@
 Tree, per host: path segments are typed first (numbers, hex strings, strings with digits).
 Then, depth by depth, a segment with many different values under one prefix becomes a wildcard,
 and children whose labelled rate does not differ from that of all children of the prefix (a test
-of proportions) are merged into one branch. A template is rejected when its share of labels that
+of proportions) are merged into one branch; a path that is alone under its prefix is finished. A template is rejected when its share of labels that
 are bad, smoothed towards the corpus's share, is above MAX_BAD. Urls shrink to distinct typed
 paths before anything is joined, so a host with a third of all rows is a few rows here.
 
@@ -14,6 +14,8 @@ is rejected by a template; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,6 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Segments that the tree looks at; what follows them is one wildcard.
-DEPTH = 4
 #: A prefix with more different next segments than this, and more than MANY_SHARE of its urls, has a variable there.
 MANY, MANY_SHARE = 8, 0.2
 #: Children within this many standard errors of their prefix's labelled rate are merged.
@@ -58,32 +58,38 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def typed_path(path: Column) -> Column:
-    """Up to DEPTH typed segments, then '**' when there are more."""
+    """The path's segments, typed."""
     segments = F.array_remove(F.split(path, "/", -1), "")
-    kind = F.transform(
+    return F.transform(
         segments,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), "{n}").when(s.rlike("^[0-9a-fA-F-]{8,}$"), "{h}").when(s.rlike("[0-9]"), "{a}").otherwise(s),
     )
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(kind, 1, DEPTH), F.array(F.lit("**")))).otherwise(kind)
 
 
 def templates(leaves: DataFrame) -> DataFrame:
     """leaves: host, typed, n, labelled, bad. Returns host, typed, template."""
-    tree = leaves.withColumn("t", F.col("typed"))
-    for d in range(1, DEPTH + 1):
+    tree = leaves.withColumn("t", F.col("typed")).withColumn("more", F.size("typed") > 0)
+    done, d = [tree.where("NOT more")], 0
+    tree = tree.where("more")
+    while tree.limit(1).count():  # a level at a time, until no path has a further segment
+        d += 1
         tree = tree.withColumn("prefix", F.concat_ws("/", F.slice("t", 1, d - 1))).withColumn("seg", F.get("t", F.lit(d - 1)))
-        child = tree.where("seg IS NOT NULL").groupBy("host", "prefix", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        over = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
+        child = tree.groupBy("host", "prefix", "seg").agg(F.count(F.lit(1)).alias("leaves"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        over = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(c).alias(f"all_{c}") for c in ("leaves", "n", "labelled", "bad")))
         child = child.join(over, ["host", "prefix"])
         rate = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(0.0)
         error = F.sqrt(rate * (1 - rate) / F.col("labelled"))
         similar = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.col("labelled") - rate) <= SIMILAR * error)
         variable = (F.col("kinds") > MANY) & (F.col("kinds") > MANY_SHARE * F.col("all_n"))
-        child = child.select("host", "prefix", "seg", ((F.col("kinds") > 1) & (variable | similar)).alias("merge"))
+        child = child.select("host", "prefix", "seg", ((F.col("kinds") > 1) & (variable | similar)).alias("merge"), (F.col("all_leaves") > 1).alias("shared"))
         tree = tree.join(child, ["host", "prefix", "seg"], "left")
-        put = F.concat(F.slice("t", 1, d - 1), F.array(F.lit("*")), F.slice("t", d + 1, DEPTH + 1))
-        tree = tree.withColumn("t", F.when(F.col("merge"), put).otherwise(F.col("t"))).drop("merge", "prefix", "seg")
-    return tree.select("host", "typed", "n", "labelled", "bad", F.concat(F.lit("/"), F.concat_ws("/", "t")).alias("template"))
+        put = F.concat(F.slice("t", 1, d - 1), F.array(F.lit("*")), F.slice("t", F.lit(d + 1), F.size("t")))
+        tree = tree.withColumn("t", F.when(F.col("merge"), put).otherwise(F.col("t"))).withColumn("more", F.col("shared") & (F.size("typed") > d))
+        tree = written(tree.drop("merge", "shared", "prefix", "seg"), "level")
+        done.append(tree.where("NOT more"))
+        tree = tree.where("more")
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.select("host", "typed", "n", "labelled", "bad", F.concat(F.lit("/"), F.concat_ws("/", "t")).alias("template"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

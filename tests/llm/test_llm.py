@@ -376,3 +376,13 @@ def test_decontamination_finds_verbatim_items_of_mere_slots(spark):
     texts = [f"Before it. {items[0]}. After it.", f"quiz night {items[1]}? Answer", "What comes next: 2, 2, 4, 6, 10, 16, 26, 42, 68, 110", "Ann Saw All Men Bob And Eve Had Met In Rome Once"]
     got = {r["doc_id"]: list(r["items"]) for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
     assert got == {0: [0], 1: [1], 2: [], 3: []}
+
+
+def test_bad_branches_are_found_at_any_depth(spark):
+    deep = "http://h.org/2020a/05b/en/x/y/z"
+    rows = [(i, f"{deep}/{'casino' if i % 2 else 'news'}/{i}") for i in range(300)] + [(1000, "http://h.org/"), (1001, f"{deep}/news/a/b/c/d")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300, 3)], "url_key long, bad int")
+    got = url_filters.url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if i < 300 and i % 2 else "allow" for i, _ in rows}
+    assert {r["template"] for r in got if r["page_id"] < 300} == {"/{a}/{a}/en/x/y/z/casino/{n}", "/{a}/{a}/en/x/y/z/news/*"}
