@@ -42,7 +42,7 @@ STAGES = [
     ("SentencePiece encoding", pieces),
 ]
 
-#: The classifier, templates and pieces have no SQL form; tests hold run() against a brute-force version.
+#: The classifier, templates and pieces have no SQL form; tests hold the near-duplicate stage against a brute-force version.
 ORACLE_SQL = None
 
 

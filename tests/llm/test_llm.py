@@ -386,3 +386,27 @@ def test_bad_branches_are_found_at_any_depth(spark):
     assert len(got) == len(rows)
     assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if i < 300 and i % 2 else "allow" for i, _ in rows}
     assert {r["template"] for r in got if r["page_id"] < 300} == {"/{a}/{a}/en/x/y/z/casino/{n}", "/{a}/{a}/en/x/y/z/news/*"}
+
+
+def test_near_duplicates_against_brute_force_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rows, _, _ = near_groups(13, 5, 0.8)
+    rows = [(None if k % 9 == 0 else i - i % 3, t) for k, (i, t) in enumerate(rows)] + [(1000, "the same text twice here")] * 2 + [(None, "the same text twice here"), (None, None)]
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root = smallest_linked(range(len(rows)), links)
+    groups = defaultdict(list)
+    for k, r in root.items():
+        groups[r].append(rows[k])
+    by = lambda i: (i is None, i or 0)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert len(got) == len(groups)
+    left = list(got)
+    for group in groups.values():
+        least = min((i for i, _ in group), key=by)
+        mine = [r for r in left if r in group and r[0] == least]
+        assert mine, group
+        left.remove(mine[0])
+    assert not left
