@@ -5,8 +5,9 @@ A profile is a text's, or a language's, PROFILE most frequent character n-grams
 the language whose profile has the smallest out-of-place distance: the sum over the document's
 n-grams of the difference of ranks, and PROFILE for those that the profile lacks.
 
-Profiles are learned from labelled rows of the learning folds, from a sample of about SAMPLE rows by a hash
-of the id. Defined cases: a null text and one without letters is `und` with score 0; ties go to
+Profiles are learned from labelled rows of the learning folds, from a sample of about SAMPLE rows by a hash of id
+and text. Each language has an equal part of it, LEAST at least: a language with fewer rows than that is learned from
+all of them, and none is left without rows. Defined cases: a null text and one without letters is `und` with score 0; ties go to
 the language first in order; whole texts are used whatever their length; repeated rows each come
 back; without learned rows everything is `und`; a null id is in a learning fold.
 """
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, text_in
+from .common import bounded, id_in, id_out, text_in, written
 
 PROFILE = 400
 #: Labelled rows that profiles are learned from, about.
 SAMPLE = 20_000
+#: Rows that a language's profile is learned from at least, if it has as many.
+LEAST = 500
 #: Characters that are sorted at once; a longer text is alone.
 BLOCK = 1_000_000
 UND = "und"
@@ -84,8 +87,13 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """A language's n-grams in order of rank, for every language."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col, folds, fold))
-    every = max(1, rows.select(lang_col).count() // sample)
-    rows = rows.select(F.col(lang_col).alias("lang"), text_in(text_col).alias("text")).where(F.pmod(F.xxhash64(id_in(id_col), F.lit(8)), F.lit(every)) == 0)
+    rows = rows.select(F.col(lang_col).alias("lang"), text_in(text_col).alias("text"), F.xxhash64(id_in(id_col), F.col(text_col), F.lit(8)).alias("h"))
+    langs = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("m"), F.min("h").alias("least")), "langs")
+    number = langs.count()
+    part = max(LEAST, -(-sample // max(1, number)))
+    every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("m") / part))
+    rows = rows.join(bounded(langs.select("lang", every.alias("every"), "least"), number), "lang")
+    rows = rows.where((F.pmod("h", "every") == 0) | (F.col("h") == F.col("least"))).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

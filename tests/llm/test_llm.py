@@ -410,3 +410,13 @@ def test_near_duplicates_against_brute_force_with_repeated_and_null_ids(spark):
         assert mine, group
         left.remove(mine[0])
     assert not left
+
+
+def test_rare_languages_keep_whole_profiles(spark):
+    random.seed(4)
+    rows = [(i, " ".join(random.choices("the and of that with this there".split(), k=6)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(random.choices("ein schön für über nicht".split(), k=6)), "de") for i in range(12)] + [(None, "où être français", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, every = language_id.learn(docs, sample=30), language_id.learn(docs)
+    assert set(few) == {"de", "en", "fr"}
+    assert few["de"].tolist() == every["de"].tolist() and few["fr"].tolist() == every["fr"].tolist()
