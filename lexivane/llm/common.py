@@ -14,6 +14,9 @@ BROADCAST_ROWS = 50_000
 #: Parts into which a join key is split when its side is too large to broadcast.
 SALTS = 16
 
+#: A key with more than one in so many rows is hot, if it has at least HOT_ROWS rows.
+UNEVEN, HOT_ROWS = 2000, 200
+
 #: The bytes that separate words: blank and 0x09 to 0x0D.
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -31,12 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexivane-")
         spark.conf.set("spark.checkpoint.dir", where)
         _made.append((spark, where))
-    return where.rstrip("/")
+    # a folder without a scheme is where Spark puts it, also for files that Python opens
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -78,6 +83,23 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, limi
     return dealt.join(salted, [*on, "_salt"], "left").drop("_salt")
 
 
+def join_uneven(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join with one row a key on the right, where some keys may hold a large share of the left.
+
+    A key with more than one in UNEVEN of the left's rows is hot; there are fewer than UNEVEN of these, so
+    their right rows are broadcast. The other keys are shuffled. left is read twice: give it a table.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOT_ROWS)
+    counts = written(counts, "uneven")
+    rows = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
+    if not rows[0]:
+        return left.join(right, key)
+    total = left.count()
+    hot = F.broadcast(counts.where(F.col("_n") * UNEVEN > total).select(key))
+    many = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(many)
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_IDS) -> DataFrame:
     """df with a broadcast hint if its counted rows are at most limit."""
     return F.broadcast(df) if rows <= limit else df

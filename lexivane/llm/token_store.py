@@ -11,7 +11,7 @@ Files: pack = chunks end to end (little-endian ids, 2 bytes each where the vocab
 4). Recipe = one line of JSON a document: [doc_id, n_ids, [[digest, pack, offset, bytes], ...]].
 Manifest = JSON with id width, recipe files, their documents, ids, first id's place and roots.
 
-Defined cases: a null or empty text is the end id alone; null ids come first; repeated rows are documents of their
+Defined cases: a null or empty text is the end id alone; a very long text is cut into chunks like any other, and is in one task as a whole; null ids come first; repeated rows are documents of their
 own, next to each other; an empty table is a manifest without files; other columns are ignored.
 Attempts of tasks that were lost leave files that no index names.
 """
@@ -29,25 +29,34 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, id_in, id_out, text_in, written
+from .common import fresh_dir, id_in, id_out, join_uneven, text_in, written
 from .files import make_dir, opened, read_bytes, remove, write_bytes
-from .token_counts import units
+from .bpe import byte_symbols
+from .token_counts import _WIDE, units
 
 END_ID = 2
 #: Ids of the rolling window, and the mean chunk length beyond the window.
 WINDOW, MEAN_CHUNK = 16, 512
 MAX_CHUNK = 8192
 PACK_BYTES = 32 << 20
+#: Bytes of a recipe file before compression.
+RECIPE_BYTES = 8 << 20
 #: Units whose ids, and chunks whose places, a worker keeps.
 CACHE, SEEN = 450_000, 100_000
 
-#: Printable ASCII without apostrophes after one blank at most, and such units of one kind of character.
-_PLAIN = re.compile(r" ?[!-&(-~]+")
-_ONE_KIND = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: A unit without white space inside and without apostrophes: printable ASCII and letters from U+00C0 to U+024F.
+_PLAIN = re.compile(" ?[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The bytes of a token that can lie within such a unit, and those of one kind of character.
+_WITHIN = re.compile(rb" ?[\x80-\xbf]?(?:[!-&(-~]|[\xc3-\xc9][\x80-\xbf])*[\xc3-\xc9]?")
+_ONE_KIND = re.compile(rb" ?(?:[A-Za-z\x80-\xbf\xc3-\xc9]*|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+
+#: What keeps a text from being cut at its line ends: other white space, and line ends beside blanks or line ends.
+_LOOSE = ("\n\n", " \n", "\n ", "\t", "\r", "\f", "\v", "\x1c", "\x1d", "\x1e", "\x1f")
 
 _GEAR = np.random.default_rng(4).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -65,16 +74,16 @@ class CachedEncoder:
         self.kept: dict[str, bytes] = {}
         # a special string of the vocabulary: nothing reaches across it, so it can stand between units
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
-        self.between, self.mark = next(iter(added.items()), ("", -1))
+        self.between = next(iter(added), "")
         self.special = list(added)
-        self.simple = self._without_pattern(path)
+        self.simple, self.gap = self._without_pattern(path)
 
     def _without_pattern(self, path: str):
-        """A second encoder that leaves out the word pattern, for plain ASCII units; None where that could change ids.
+        """A second encoder that leaves out the word pattern, for plain units, and a character to put between them; None where that could change ids.
 
         The pattern cuts such a unit between letters, digits and other characters. When no token holds
-        two of these kinds, merging never crosses a cut, and cutting changes nothing. Apostrophes are left
-        to the pattern.
+        two of these kinds, merging never crosses a cut, and cutting changes nothing; nor does it cross a character
+        that no other token holds. Apostrophes are left to the pattern.
         """
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -82,42 +91,67 @@ class CachedEncoder:
         cut = told.get("pre_tokenizer") or {}
         known = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and told["model"].get("type") == "BPE"
         if not known or told.get("normalizer") or any(not t["special"] for t in told.get("added_tokens", [])):
-            return None
-        tokens = (t.replace("\u0120", " ") for t in told["model"]["vocab"] if t not in self.special)
-        if any(_PLAIN.fullmatch(t) and not _ONE_KIND.fullmatch(t) for t in tokens):
-            return None
+            return None, ""
+        to_byte = byte_symbols()
+        tokens = [bytes(map(to_byte.__getitem__, t)) for t in told["model"]["vocab"] if t not in self.special]
+        if any(_WITHIN.fullmatch(t) and not _ONE_KIND.fullmatch(t) for t in tokens):
+            return None, ""
+        apart = [chr(c) for c in range(32) if [bytes([c])] == [t for t in tokens if c in t] and chr(c) not in "\t\n\v\f\r\x1c\x1d\x1e\x1f"]
+        if not apart:
+            return None, ""
         simple = Tokenizer.from_file(path)
         simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        return simple
+        return simple, apart[0]
 
-    def _encode_units(self, units: list[str], library) -> list[bytes]:
-        """Many units as one text with the mark between them; the ids are cut at the mark."""
-        if not self.between:
+    def _encode_units(self, units: list[str], library, between: str) -> list[bytes]:
+        """Many units as one text with a mark between them; the ids are cut at the mark."""
+        if not between:
             return [np.array(e.ids, dtype=self.kind).tobytes() for e in library.encode_batch_fast(units, add_special_tokens=False)]
-        ids = np.array(library.encode_batch_fast([self.between.join(units)], add_special_tokens=False)[0].ids, dtype=self.kind)
-        data, width, ends = ids.tobytes(), self.kind.itemsize, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+        ids = np.array(library.encode_batch_fast([between.join(units)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        mark = library.encode(between, add_special_tokens=False).ids[0]
+        data, width, ends = ids.tobytes(), self.kind.itemsize, [*np.flatnonzero(ids == mark).tolist(), len(ids)]
         return [data[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.kept) > CACHE:
             self.kept.clear()
-        kept, parts = self.kept, [units(t) for t in texts]
-        new = set().union(*parts).difference(kept)
-        odd = {u for u in new if any(s in u for s in self.special)}
-        easy = [u for u in new - odd if _PLAIN.fullmatch(u)] if self.simple else []
-        for library, own in ((self.simple, easy), (self.library, list(new.difference(odd, easy)))):
-            for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
-                kept.update(zip(part, self._encode_units(part, library), strict=True))
+        kept, parts = self.kept, [lines_and_units(t) for t in texts]
+        got = [list(map(kept.get, p)) for p in parts]
+        open_ = [[k for k, x in enumerate(g) if x is None] if None in g else [] for g in got]
+        new = {p[k] for p, missing in zip(parts, open_) for k in missing}
+        marked = any(s in t for s in self.special for t in texts)
+        odd = {u for u in new if any(s in u for s in self.special)} if marked else set()
+        easy = list(filter(_PLAIN.fullmatch, new - odd)) if self.simple else []
+        for library, between, own in ((self.simple, self.gap, easy), (self.library, self.between, list(new.difference(odd, easy)))):
+            for at in range(0, len(own), 512):
+                part = own[at : at + 512]
+                kept.update(zip(part, self._encode_units(part, library, between), strict=True))
         for u in odd:
             kept[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        out = [np.frombuffer(b"".join(map(kept.__getitem__, p)), dtype=self.kind) for p in parts]
+        for p, g, missing in zip(parts, got, open_):
+            for k in missing:
+                g[k] = kept[p[k]]
+        out = [np.frombuffer(b"".join(g), dtype=self.kind) for g in got]
         for u in new:
             if len(u) > 64:  # long ones seldom come again
                 del kept[u]
         return out
 
 
+def lines_and_units(text: str) -> list[str]:
+    """The text's units, with single line ends as units of their own where only words and single blanks stand around them."""
+    if not text or "  " in text or any(c in text for c in _LOOSE) or text[0] in " \n" or text[-1] in " \n" or not text.isascii() and _WIDE.search(text):
+        return units(text)
+    out: list[str] = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        out.append(first)
+        out += [f" {p}" for p in rest]
+        out.append("\n")
+    out.pop()
+    return out
+
+
 _encoders: dict[str, CachedEncoder] = {}
 
 
@@ -227,20 +261,32 @@ def _leaf(line: bytes) -> bytes:
 
 
 def _recipes(docs: DataFrame, folder: str) -> DataFrame:
-    """docs: doc_id, n_ids, chunks (digest, pack, at, size in order), in ascending order within partitions."""
+    """docs: doc_id, n_ids, chunks (digest, pack, at, size in order), in ascending order within partitions.
+
+    A file ends at RECIPE_BYTES; part and file give the order of the files.
+    """
+
+    def put(lines: list[bytes], first: int, n_ids: int, file: int) -> pd.DataFrame:
+        name = f"{uuid.uuid4().hex}.recipe"
+        write_bytes(f"{folder}/{name}", zlib.compress(b"\n".join(lines), 1))
+        row = (TaskContext.get().partitionId(), file, name, first, len(lines), n_ids, merkle([_leaf(x) for x in lines]).hex())
+        return pd.DataFrame([row], columns=["part", "file", "name", "first", "docs", "ids", "root"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, lines, first, n_ids = f"{uuid.uuid4().hex}.recipe", [], None, 0
+        lines, size, first, n_ids, file = [], 0, None, 0, 0
         for b in batches:
             for doc_id, n, chunks in zip(b["doc_id"].tolist(), b["n_ids"].tolist(), b["chunks"].tolist()):
                 first = doc_id if first is None else first
                 lines.append(json.dumps([doc_id, n, [[bytes(c["digest"]).hex(), c["pack"], c["at"], c["size"]] for c in chunks]]).encode())
+                size += len(lines[-1])
                 n_ids += n
+                if size >= RECIPE_BYTES:
+                    yield put(lines, first, n_ids, file)
+                    lines, size, first, n_ids, file = [], 0, None, 0, file + 1
         if lines:
-            write_bytes(f"{folder}/{name}", zlib.compress(b"\n".join(lines), 1))
-            yield pd.DataFrame([(name, first, len(lines), n_ids, merkle([_leaf(x) for x in lines]).hex())], columns=["name", "first", "docs", "ids", "root"])
+            yield put(lines, first, n_ids, file)
 
-    return docs.mapInPandas(run, "name string, first long, docs long, ids long, root string")
+    return docs.mapInPandas(run, "part int, file int, name string, first long, docs long, ids long, root string")
 
 
 def write_store(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -256,13 +302,19 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
     index = written(_compact(packs, folder), "index")
     # rows are told apart by a number of their own: repeated ids are documents of their own
     entries = done.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "n_ids", F.posexplode("digests").alias("seq", "digest"))
-    found = entries.join(index, "digest").groupBy("doc_id", "row", "n_ids").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "pack", "at", "size"))).alias("chunks"))
+    found = join_uneven(entries, index, "digest").groupBy("doc_id", "row", "n_ids").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "pack", "at", "size"))).alias("chunks"))
     n = max(1, spark.sparkContext.defaultParallelism)
     ordered = found.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     # one row a recipe file
-    made = sorted(written(_recipes(ordered, folder), "recipes").collect(), key=lambda r: (r["first"], r["name"]))
-    for pack in packs.select("pack").distinct().toLocalIterator():
-        remove(f"{folder}/{pack['pack']}")
+    made = sorted(written(_recipes(ordered, folder), "recipes").collect(), key=lambda r: (r["part"], r["file"]))
+
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pack in b["pack"].tolist():
+                remove(f"{folder}/{pack}")
+            yield b
+
+    packs.select("pack").distinct().mapInPandas(drop, "pack string").count()
     start, files = 0, []
     for r in made:
         files.append({"name": r["name"], "first": r["first"], "docs": r["docs"], "ids": r["ids"], "start": start, "root": r["root"]})
