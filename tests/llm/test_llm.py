@@ -274,8 +274,81 @@ def test_crf_marginals_against_all_labellings():
         total += w
         for k in range(4):
             single[k, y[k]] += w
-    got, _ = quality_crf.marginals(np.vstack([emit, emit[:1]]), trans, np.array([4, 1]))
-    assert np.allclose(got[:4], single / total) and np.allclose(got.sum(axis=1), 1)
+    # log odds of a line speak for good; emit is for either label
+    forward, backward = quality_crf.messages(np.append(emit[:, 1] - emit[:, 0], emit[0, 1] - emit[0, 0]), trans, quality_crf.Chains(np.array([4, 1])))
+    got = 1 / (1 + np.exp(-(forward + backward)))
+    assert np.allclose(got[:4], single[:, 1] / total) and np.isclose(got[4], np.exp(emit[0, 1]) / np.exp(emit[0]).sum())
+
+
+def test_crf_score_and_gradient_against_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    for counts in ([4, 1, 3], [5], [2, 2]):
+        chains = quality_crf.Chains(np.array(counts))
+        good, trans, weight = rng.normal(size=sum(counts)), rng.normal(size=(2, 2)), rng.random(sum(counts))
+        weight /= np.repeat(np.add.reduceat(weight, chains.first), counts)
+
+        def brute(good, trans):
+            out = []
+            for first, n in zip(chains.first, counts):
+                chances = {y: np.exp(sum(good[first + k] * y[k] for k in range(n)) + sum(trans[y[k], y[k + 1]] for k in range(n - 1))) for y in product((0, 1), repeat=n)}
+                out.append(sum(c * sum(weight[first + k] * y[k] for k in range(n)) for y, c in chances.items()) / sum(chances.values()))
+            return np.array(out)
+
+        score, by_line, by_trans = quality_crf.score_gradient(good, weight, trans, chains)
+        assert np.allclose(score, brute(good, trans))
+        for k, d in enumerate(np.eye(len(good)) * 1e-5):
+            assert np.isclose((brute(good + d, trans) - brute(good - d, trans)).sum() / 2e-5, by_line[k], atol=1e-6)
+        for j, k in product((0, 1), repeat=2):
+            d = np.zeros((2, 2))
+            d[j, k] = 1e-5
+            assert np.allclose((brute(good, trans + d) - brute(good, trans - d)) / 2e-5, by_trans[:, j, k], atol=1e-6)
+        forward, backward = quality_crf.messages(good, trans, chains)
+        if len(counts) == 1:
+            assert np.allclose(quality_crf._messages_alone(good.tolist(), trans), forward + backward)
+
+
+def quality_rows(seed, n):
+    random.seed(seed)
+    good = lambda: "\n".join(" ".join(f"word{random.randrange(300)}" for _ in range(20)).capitalize() + "." for _ in range(4))
+    bad = lambda: "\n".join(" ".join(f"X{random.randrange(300)}!!" for _ in range(20)) for _ in range(4))
+    return [(i, good() if i % 3 else bad()) for i in range(n)], good, bad
+
+
+def test_lines_of_a_mixed_document_are_labelled_apart(spark):
+    rows, good, bad = quality_rows(2, 150)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    crf = quality_crf.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    chance, _, counts = crf.marginals([good() + "\n" + bad(), bad()])
+    assert counts.tolist() == [8, 4] and (chance[:3] > 0.8).all() and (chance[5:] < 0.2).all()
+
+
+def test_score_equals_that_of_whole_features_in_any_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    crf = quality_crf.Crf(rng.normal(size=3 * quality_crf.OWN + 1), rng.normal(size=(2, 2)))
+    texts = ["", "one", "x\n\nx\ny |!\n" * 30, "A b.\n" * 9, "z" * 5000, "é" * 700 + "\n1 2 3"]
+    want = []
+    for t in texts:
+        x, n = quality_crf.line_features(t)
+        chains = quality_crf.Chains(np.array([len(x)]))
+        p = 1 / (1 + np.exp(-sum(quality_crf.messages(x.astype(float) @ crf.weights, crf.trans, chains))))
+        want.append(float((p * np.maximum(n, 1)).sum() / np.maximum(n, 1).sum()))
+    assert np.allclose(crf.score(texts), want, atol=1e-4)
+    for name, value in (("BLOCK_BYTES", 50), ("BLOCK_LINES", 3), ("ALONE", 20)):
+        monkeypatch.setattr(quality_crf, name, value)
+        assert np.allclose(crf.score(texts), want, atol=1e-4)
+
+
+def test_quality_classifier_defined_cases(spark):
+    rows, good, bad = quality_rows(4, 90)
+    docs = spark.createDataFrame([(i, t, "x", 2.0) for i, t in rows] + [(None, bad(), "x", 2.0), (1, bad(), "x", 2.0), (2, rows[2][1], "x", 2.0), (500, (good() + "\n") * 2000, None, None)], "doc_id long, text string, predicted string, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows] + [(None, 1), (4, 0)], "doc_id long, quality int")
+    got = [tuple(r) for r in quality_crf.classify(docs, quality_crf.learn(docs, labels)).select("doc_id", "predicted").collect()]
+    assert len(got) == 94 and (None, 0) in got and (500, 1) in got and got.count((2, 1)) == 2 and {(1, 0), (1, 1)} <= set(got)
+    again = quality_crf.learn(docs.orderBy(F.desc("text")), labels)
+    assert np.allclose(again.weights, quality_crf.learn(docs, labels).weights, atol=1e-3)
+    assert quality_crf.classify(docs.where("false"), quality_crf.learn(docs.where("false"), labels)).count() == 0
 
 
 URLS = ["http://A.Example.com/en/1", "https://www.example.com/en/x?y", "http://example.net/es/a", "http://net/fr/", "http://x.org/a/b#c", "no scheme", None, "http://a.com", "http://a.com?x=/", "://h/p"]
@@ -420,3 +493,22 @@ def test_rare_languages_keep_whole_profiles(spark):
     few, every = language_id.learn(docs, sample=30), language_id.learn(docs)
     assert set(few) == {"de", "en", "fr"}
     assert few["de"].tolist() == every["de"].tolist() and few["fr"].tolist() == every["fr"].tolist()
+
+
+def test_token_store_starts_of_ids_that_cross_partitions(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "RECIPE_BYTES", 2000)
+    rows = [(5, f"text number {k} of five") for k in range(400)] + [(6, "the only six")] + [(None, "") for _ in range(50)]
+    got = token_store.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BPE).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 50 + [5] * 400 + [6]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+
+
+def test_unit_encoder_matches_the_library():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(BPE), token_store.CachedEncoder(BPE)
+    assert own.simple is not None
+    random.seed(2)
+    parts = ["'", "'re", " ", "  ", "\n", "\n\n", "a", "th", "é", "漢字", "12", "!", "<|endoftext|>", "<|endo", "\t", "\xa0", "the", "ß", "Éa", ".", "\x00", "\x1c", "’s", "ª", "×", "1é", "é.", "Ñ%"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(3000)]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
