@@ -1,14 +1,16 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
-The new units of a batch (blanks, then text up to the next blank: no piece reaches across) are
+The new units of a batch (blanks, then text up to the next blank or line end: no piece reaches across) are
 concatenated and indexed by a suffix array as deep as the longest piece. Every piece of the
 vocabulary is looked up by binary search; its range in the array is the list of places where it
 occurs. These edges are sorted by their end and relaxed in that order: the piece that ends a
 prefix's encoding is the only one that fits the last piece of the prefix before it, that is, whose
-border merging leaves alone. Characters without a piece become their bytes' pieces.
+border merging leaves alone. Characters without a piece become their bytes' pieces. Equal scores: the leftmost pair merges
+first, as in the library.
 
 Defined cases: a null or empty text has no ids; very long texts are indexed in parts of whole
-units; units are kept between batches in a bounded cache; repeated rows each come back.
+units, and a unit beyond LONG_UNIT by an index that slides along it; units are kept between batches in a bounded cache; repeated
+rows each come back; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from .common import Recent, id_in, id_out, text_in
 
 SPACE = "▁"
 #: Units whose ids a worker keeps, and characters indexed at once.
-CACHE, INDEX_CHARS = 300_000, 400_000
-#: Edges that are relaxed, and pairs of pieces whose fit a worker keeps.
-AT_ONCE, FITS = 200_000, 500_000
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CACHE, INDEX_CHARS = 250_000, 400_000
+#: Characters of a unit that is indexed alone, by a sliding index.
+LONG_UNIT = 2000
+#: Pairs of pieces whose fit a worker keeps: 2 to this power.
+FITS = 20
+_UNIT, _UNIT_WITH_LINES = re.compile(" *[^ \n]+| +|\n"), re.compile(" *[^ ]+| +")
 #: Ends every unit in the index; a private-use character without a piece.
 _END = "\U0010fffd"
 
@@ -51,8 +55,10 @@ class Vocabulary:
         for b, i in enumerate(self.byte):
             self.raw[i] = bytes([b])
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        self.cut_lines = not any("\n" in p for p in self.pieces)
         self.longest = max(map(len, self.pieces))
-        self.fits: dict[int, bool] = {}
+        self.histories: dict[int, tuple[list[tuple[float, str, str]] | None, str, str]] = {}
+        self.fit_keys, self.fit_values = np.full(1 << FITS, -1, dtype=np.int64), np.zeros(1 << FITS, dtype=bool)
         self.kept: dict[str, bytes] = Recent(CACHE)
         order = sorted(self.pieces)
         self.order = np.array([self.pieces[p] for p in order])
@@ -63,7 +69,7 @@ class Vocabulary:
         self.alphabet = np.unique(self.codes[self.codes > 0])
 
     def merge(self, text: str) -> list[str]:
-        """Pieces by merging the pair of best score, leftmost first: the rule itself, for borders and tests."""
+        """Pieces by merging the pair of best score, leftmost first: the rule itself, for tests."""
         parts, nxt, prv = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
         heap: list[tuple[float, int, int]] = []
 
@@ -89,9 +95,60 @@ class Vocabulary:
             offer(i)
         return [p for p in parts if p]
 
+    def history(self, piece: int) -> tuple[list[tuple[float, str, str]] | None, str, str]:
+        """The merges that make a piece, in their order: score, first and last part after it. None if merging makes other parts."""
+        known = self.histories.get(piece)
+        if known is None:
+            parts, steps = list(self.text[piece]), []
+            first, last = parts[0], parts[-1]
+            while len(parts) > 1:
+                best, at = max((self.scores.get(x + y, -np.inf), -k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+                if best == -np.inf:
+                    break
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+                steps.append((best, parts[0], parts[-1]))
+            known = self.histories[piece] = (steps if len(parts) == 1 else None, first, last)
+        return known
+
     def fit(self, a: int, b: int) -> bool:
-        pair = [self.text[a], self.text[b]]
-        return self.merge("".join(pair)) == pair
+        """Whether merging the text of two pieces gives these two.
+
+        Each side's merges are known; they are taken in the order of their scores, the left side first where they are equal,
+        until a merge across the border would come first.
+        """
+        (left, _, x), (right, y, _) = self.history(a), self.history(b)
+        if left is None or right is None:
+            return False
+        i = j = 0
+        across = self.scores.get(x + y, -np.inf)
+        while True:
+            one = left[i][0] if i < len(left) else -np.inf
+            two = right[j][0] if j < len(right) else -np.inf
+            if across > one and across >= two and across > -np.inf:
+                return False
+            if i == len(left) and j == len(right):
+                return True
+            if one >= two:
+                edge, i = left[i][2], i + 1
+                if edge != x:
+                    x, across = edge, self.scores.get(edge + y, -np.inf)
+            else:
+                edge, j = right[j][1], j + 1
+                if edge != y:
+                    y, across = edge, self.scores.get(x + edge, -np.inf)
+
+    def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """fit() for many pairs; what was asked before is in a table of FITS places, one for each remainder of a hash."""
+        key = before.astype(np.int64) << 32 | piece
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FITS)).astype(np.int64)
+        out = self.fit_values[at]
+        new = np.flatnonzero(self.fit_keys[at] != key)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            told = np.fromiter((self.fit(k >> 32, k & 0xFFFFFFFF) for k in asked.tolist()), dtype=bool, count=len(asked))[back]
+            out[new] = told
+            self.fit_keys[at[new]], self.fit_values[at[new]] = key[new], told
+        return out
 
     # -- suffix array -----------------------------------------------------------------------
 
@@ -147,77 +204,140 @@ class Vocabulary:
         return array, found[0], found[1]
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and piece (-1: a character without one) of every occurrence, by end, the longest first."""
+        """Start, end and piece (-1: a character without one) of every occurrence."""
         array, low, high = self._index_text(codes)
         n = high - low
         which = np.repeat(np.arange(len(n)), n)
         starts = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        ends = starts + self.lengths[which]
-        pieces = self.order[which]
         alone = np.ones(len(codes), dtype=bool)
         alone[starts[self.lengths[which] == 1]] = False
         bare = np.flatnonzero(alone)
-        starts, ends = np.concatenate([starts, bare]), np.concatenate([ends, bare + 1])
-        pieces = np.concatenate([pieces, np.full(len(bare), -1)])
-        by = np.argsort(ends * (len(codes) + 1) + starts)
-        return starts[by], ends[by], pieces[by]
+        starts, ends = np.concatenate([starts, bare]), np.concatenate([starts + self.lengths[which], bare + 1])
+        return starts, ends, np.concatenate([self.order[which], np.full(len(bare), -1)])
 
     def _index(self, units: list[str], out: dict[str, bytes]) -> None:
-        """Encodes units together; puts their ids into out."""
-        text = "".join(u + _END for u in units)
+        """Encodes units together; puts their ids into out.
+
+        Edges are relaxed by the distance of their end from their unit's start, for all units at once; of
+        the edges with one end, the longest is tried first, then the next.
+        """
+        text = _END.join([*units, ""]).replace(" ", SPACE)
         codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        fits = self.fits
-        if len(fits) > FITS:
-            fits.clear()
-        last, origin, done = [-1] * (len(codes) + 1), [0] * (len(codes) + 1), 0
-        edges = self._edges(codes)
-        for k in range(0, len(edges[0]), AT_ONCE):
-            for start, end, piece in zip(*(x[k : k + AT_ONCE].tolist() for x in edges)):
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) + 1
+        first = np.cumsum(sizes) - sizes
+        base = np.repeat(first, sizes)
+        starts, ends, pieces = self._edges(codes)
+        reach = ends - base[starts]
+        by = np.argsort(reach << 40 | ends << 8 | self.longest + starts - ends)
+        starts, ends, pieces, reach = starts[by], ends[by], pieces[by], reach[by]
+        opens = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))  # the longest edge of each end
+        number = np.diff(np.append(opens, len(ends)))
+        last, origin = np.full(len(codes) + 1, -1, dtype=np.int64), np.zeros(len(codes) + 1, dtype=np.int64)
+        cuts = np.searchsorted(reach[opens], np.arange(1, int(reach[-1]) + 2))
+        for lo, hi in zip(cuts, cuts[1:]):
+            at, left = opens[lo:hi], number[lo:hi]
+            while len(at):
+                before, piece = last[starts[at]], pieces[at]
+                ok = (before < 0) | (piece < 0)
+                ask = np.flatnonzero(~ok)
+                ok[ask] = self._fits(before[ask], piece[ask])
+                good = at[ok]
+                last[ends[good]], origin[ends[good]] = pieces[good], starts[good]
+                more = ~ok & (left > 1)
+                at, left = at[more] + 1, left[more] - 1
+        # backwards: the ends on each unit's best path
+        used = np.zeros(len(codes) + 1, dtype=bool)
+        at = first + sizes - 1
+        while len(at):
+            used[at] = True
+            at = origin[at]
+            at = at[at > base[np.minimum(at, len(codes) - 1)]]
+        where = np.flatnonzero(used)
+        ids = last[where]
+        ends = np.searchsorted(where, first + sizes - 1, side="right")
+        raw = ids.astype(np.int32).tobytes()
+        odd = np.add.reduceat(ids < 0, np.concatenate([[0], ends[:-1]])) > 0
+        for u, a, b, bare in zip(units, [0, *ends[:-1].tolist()], ends.tolist(), odd.tolist()):
+            if bare:
+                out[u] = self._with_bytes(text, where[a:b].tolist(), ids[a:b].tolist())
+            else:
+                out[u] = raw[4 * a : 4 * b]
+
+    def _with_bytes(self, text: str, ends: list[int], ids: list[int]) -> bytes:
+        """Ids of a path on which characters without a piece become their bytes' pieces."""
+        got = [[i] if i >= 0 else [self.byte[b] for b in text[end - 1].encode()] for end, i in zip(ends, ids)]
+        return np.array([i for part in got for i in part], dtype=np.int32).tobytes()
+
+    def _long(self, unit: str) -> bytes:
+        """A unit beyond LONG_UNIT: the index slides along it, and edges are relaxed one after the other."""
+        n, step, back = len(unit), INDEX_CHARS, self.longest
+        last, size = np.full(n + 1, -1, dtype=np.int32), np.zeros(n + 1, dtype=np.int16)
+        for at in range(0, n, step):
+            low = max(0, at - back)
+            codes = np.frombuffer(unit[low : at + step].encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            starts, ends, pieces = self._edges(codes)
+            new = ends + low > at
+            starts, ends, pieces = starts[new] + low, ends[new] + low, pieces[new]
+            by = np.argsort(ends << 8 | self.longest + starts - ends)
+            recent, done = dict(zip(range(low, at + 1), last[low : at + 1].tolist())), at
+            for start, end, piece in zip(starts[by].tolist(), ends[by].tolist(), pieces[by].tolist()):
                 if end <= done:
                     continue
-                before = last[start]
-                if before >= 0 and piece >= 0:
-                    key = before << 32 | piece
-                    ok = fits.get(key)
-                    if ok is None:
-                        ok = fits[key] = self.fit(before, piece)
-                    if not ok:
-                        continue
-                last[end], origin[end], done = piece, start, end
-        at = 0
-        for u in units:
-            end, ids = at + len(u), []
-            while end > at:
-                piece = last[end]
-                if piece >= 0:
-                    ids.append(piece)
-                else:
-                    ids += [self.byte[b] for b in reversed(text[end - 1].encode())]
-                end = origin[end]
-            out[u] = np.array(ids[::-1], dtype=np.int32).tobytes()
-            at += len(u) + 1
+                before = recent[start]
+                if before >= 0 and piece >= 0 and not self._fit_one(before, piece):
+                    continue
+                recent[end] = last[end] = piece
+                size[end], done = end - start, end
+        where, end = [], n
+        while end > 0:
+            where.append(end)
+            end -= int(size[end])
+        where.reverse()
+        return self._with_bytes(unit, where, last[where].tolist())
+
+    def _fit_one(self, before: int, piece: int) -> bool:
+        key = before << 32 | piece
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - FITS
+        if self.fit_keys[at] != key:
+            self.fit_keys[at], self.fit_values[at] = key, self.fit(before, piece)
+        return bool(self.fit_values[at])
 
     # -- encoding and decoding --------------------------------------------------------------
 
     def units(self, text: str) -> list[str]:
+        """The text's units, with blanks for SPACE; together they are the text after the dummy prefix."""
         if not text:
             return []
-        whole = SPACE + text.replace(" ", SPACE)
+        whole = " " + text.replace(SPACE, " ")
         if not self.cut:
             return [whole]
-        if SPACE * 2 in whole or whole[-1] == SPACE:
-            return _UNIT.findall(whole)
-        return [SPACE + p for p in whole[1:].split(SPACE)]
+        if "  " in whole or whole[-1] == " " or " \n" in whole or not self.cut_lines:
+            return (_UNIT if self.cut_lines else _UNIT_WITH_LINES).findall(whole)
+        out: list[str] = []
+        for line in whole.split("\n"):
+            first, *rest = line.split(" ")
+            if first:
+                out.append(first)
+            out += [f" {p}" for p in rest]
+            out.append("\n")
+        out.pop()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        kept = self.kept
         parts = [self.units(t) for t in texts]
+        got = [list(map(kept.get, p)) for p in parts]
+        open_ = [[k for k, x in enumerate(g) if x is None] if None in g else [] for g in got]
         have: dict[str, bytes] = {}
         new, size = [], 0
-        for u in {u for p in parts for u in p}:
-            known = self.kept[u]
+        for u in {p[k] for p, missing in zip(parts, open_) for k in missing}:
+            known = kept[u]
             if known is not None:
                 have[u] = known
                 continue
+            if len(u) > LONG_UNIT:
+                have[u] = self._long(u.replace(" ", SPACE))
+                continue
             new.append(u)
             size += len(u) + 1
             if size >= INDEX_CHARS:
@@ -225,13 +345,17 @@ class Vocabulary:
                 new, size = [], 0
         if new:
             self._learn(new, have)
-        return [np.frombuffer(b"".join([have[u] for u in p]), dtype=np.int32) for p in parts]
+        for p, g, missing in zip(parts, got, open_):
+            for k in missing:
+                g[k] = have[p[k]]
+        return [np.frombuffer(b"".join(g), dtype=np.int32) for g in got]
 
     def _learn(self, units: list[str], have: dict[str, bytes]) -> None:
         self._index(units, have)
+        put = self.kept.put
         for u in units:
             if len(u) <= 64:
-                self.kept.put(u, have[u])
+                put(u, have[u])
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
