@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,20 +58,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _made.remove((df.sparkSession, path))
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             pass
 
 
+_held: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: one operator's tables and cache, so that the next operator has their memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with one row a key on the right. rows: the counted rows of right.
 

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, id_in, id_out, text_in
+from .common import Recent, held, id_in, id_out, text_in
 
 SPACE = "▁"
 #: Units whose ids a worker keeps, and characters indexed at once.
@@ -363,14 +363,9 @@ class Vocabulary:
         return text[1:] if ids and self.text[ids[0]].startswith(SPACE) else text
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    """One for each worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    """One for each worker process and file, as long as no other operator's tasks need the worker."""
+    return held(f"pieces {path}", lambda: Vocabulary(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,12 +7,12 @@ character, from which any "how many tokens is the first part" or "how much text
 answered without encoding again.
 
 Defined cases: a null text counts as empty (no tokens); special strings in a text count as one
-token, as the library has it; repeated rows each come back; other columns are ignored.
+token, as the library has it; repeated rows each come back; a very long text without white space is one unit, counted whole; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .bpe import RankedBpe
-from .common import Recent, id_in, id_out, text_in
+from .common import Recent, held, id_in, id_out, text_in
 
 #: Units whose steps a worker keeps; older ones go.
 CACHE = 150_000
@@ -112,14 +112,9 @@ class PrefixCounter:
         return b"".join(out)
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    """One for each worker process and file."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    """One for each worker process and file, as long as no other operator's tasks need the worker."""
+    return held(f"counter {path}", lambda: PrefixCounter(path))
 
 
 def table(steps: bytes) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, id_in, id_out, join_uneven, text_in, written
+from .common import fresh_dir, held, id_in, id_out, join_uneven, text_in, written
 from .files import make_dir, opened, read_bytes, remove, write_bytes
 from .bpe import byte_symbols
 from .token_counts import _WIDE, units
@@ -152,13 +152,8 @@ def lines_and_units(text: str) -> list[str]:
     return out
 
 
-_encoders: dict[str, CachedEncoder] = {}
-
-
 def encoder(path: str) -> CachedEncoder:
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: CachedEncoder(path))
 
 
 def borders(ids: np.ndarray) -> list[int]:

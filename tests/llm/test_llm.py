@@ -512,3 +512,24 @@ def test_unit_encoder_matches_the_library():
     parts = ["'", "'re", " ", "  ", "\n", "\n\n", "a", "th", "é", "漢字", "12", "!", "<|endoftext|>", "<|endo", "\t", "\xa0", "the", "ß", "Éa", ".", "\x00", "\x1c", "’s", "ª", "×", "1é", "é.", "Ñ%"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(3000)]
     assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_ngram_join_keeps_rows_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(80))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, a + " less"), (None, "alone here now"), (9, None), (9, "")]
+    for order in (rows, rows[::-1]):
+        got = ngram_join.jaccard_join(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["n_links"]) for r in got) == [(-1, -1, 0), (-1, 1, 2), (1, 1, 2), (2, 1, 1), (2, 1, 2), (3, 1, 1), (9, 9, 0), (9, 9, 0)]
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_signatures_of_large_sets_use_a_part_of_the_order(num, den):
+    rng = np.random.default_rng(7)
+    for size in (30, 400, 3000, 30_000):
+        k = size * (den - num) // num
+        base = rng.integers(0, 1 << 63, size + k, dtype=np.uint64) * np.uint64(2)
+        one, two = np.unique(base[:size]), np.unique(base)  # as far apart as links allow
+        shared = np.intersect1d(ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den))
+        assert len(shared) and len(ngram_join.signatures(one, num, den)) < 2.5 * (k + 2)
+    assert len(ngram_join.signatures(one, num, den)) < 0.8 * k
