@@ -533,3 +533,69 @@ def test_signatures_of_large_sets_use_a_part_of_the_order(num, den):
         shared = np.intersect1d(ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den))
         assert len(shared) and len(ngram_join.signatures(one, num, den)) < 2.5 * (k + 2)
     assert len(ngram_join.signatures(one, num, den)) < 0.8 * k
+
+
+def test_decontamination_of_mid_sentence_and_recased_copies(spark):
+    items = ["Who wrote the famous novel about whales and the sea", "When did Anna Karl and her brother Peter leave the town of Berlin for good", "a b c d"]
+    bench = spark.createDataFrame([*enumerate(items), (None, "an item whose own id is not known to anyone at all here")], "item_id long, text string")
+    texts = [f"he asked the class {items[0]} and left", f"so {items[1].lower()} then", f"SO {items[1].upper()} THEN", f"X {items[0].upper()}!", "whales and the sea wrote the famous novel about who", "x a B c, d y", "say an item whose own id is not known to anyone at all here too"]
+    got = {r["doc_id"]: (r["contaminated"], list(r["items"])) for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {0: (True, [0]), 1: (True, [1]), 2: (True, [1]), 3: (True, [0]), 4: (False, []), 5: (True, [2]), 6: (True, [])}
+
+
+def brute_items(texts, items):
+    """Items of which a text has 13 words in a row, or all, whatever their case and outer punctuation."""
+    plain = lambda t: [x for w in t.split() if (x := w.strip(decontamination._EDGES).lower())]
+    out = {}
+    for k, t in enumerate(texts):
+        words, found = plain(t), []
+        for i, item in enumerate(items):
+            own = plain(item)
+            size = min(13, len(own))
+            parts = {tuple(own[a : a + size]) for a in range(len(own) - size + 1)}
+            if any(tuple(words[a : a + size]) in parts for a in range(len(words) - size + 1)):
+                found.append(i)
+        out[k] = found
+    return out
+
+
+def planted(seed, n_items, n_texts):
+    random.seed(seed)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 7))) for _ in range(600)]
+    phrase = lambda n: " ".join(random.choices(vocabulary, k=n))
+    items = [phrase(random.randint(5, 40)).capitalize() + "?" for _ in range(n_items)]
+    texts = []
+    for _ in range(n_texts):
+        text, item = phrase(random.randint(30, 200)), random.choice(items)
+        words = item.split()
+        cut = random.choice([item, item.lower(), item.upper(), f'"{item}"', " ".join(words[: len(words) // 2]), item.replace(" ", "\n"), ""])
+        texts.append(f"{text} {cut} {phrase(20)}" if random.random() < 0.8 else text)
+    return items, texts
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontamination, "TOGETHER", 3000)
+    items, texts = planted(6, 60, 300)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(0, texts[0], True), (None, texts[1], True)], "doc_id long, text string, contaminated boolean")
+    got = decontamination.decontaminate(docs, bench).collect()
+    want = brute_items(texts, items)
+    assert len(got) == len(texts) + 2 and sum(map(bool, want.values())) > 100
+    assert {r["doc_id"]: list(r["items"]) for r in got if r["doc_id"] is not None} == want
+    left = decontamination.clean(docs, bench).collect()
+    assert sorted((r["doc_id"] for r in left if r["doc_id"] is not None)) == sorted([i for i, f in want.items() if not f] + [0] * (not want[0]))
+
+
+def test_decontamination_of_other_numbers_and_names(spark):
+    random.seed(8)
+    names, fill = ["Alice", "Robert", "Maria", "Peter", "Eva", "Tom"], ["apples", "pears", "books", "coins"]
+    make = lambda a, b, x, y, z: f"If {a} buys {x} boxes of {z} for {y} dollars each and then gives half of them to {b} how many does {a} keep in the end"
+    item = make("Alice", "Robert", 12, 3, "apples")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    same = [make(*random.sample(names, 2), random.randint(2, 99), random.randint(2, 99), "apples") for _ in range(20)]
+    other = ["".join(f"{random.choice(fill)} cost {random.randint(2, 99)} dollars and {random.choice(names)} buys them. " for _ in range(8)) for _ in range(20)]
+    texts = [f"Some words first. {t}. And more after it." for t in same] + other
+    got = {r["doc_id"]: r["contaminated"] for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {k: k < 20 for k in range(40)}
