@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -524,15 +525,18 @@ def test_ngram_join_keeps_rows_of_one_id_apart(spark):
 
 
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
-def test_signatures_of_large_sets_use_a_part_of_the_order(num, den):
+def test_signatures_and_sizes_of_linked_sets(num, den):
     rng = np.random.default_rng(7)
     for size in (30, 400, 3000, 30_000):
         k = size * (den - num) // num
         base = rng.integers(0, 1 << 63, size + k, dtype=np.uint64) * np.uint64(2)
         one, two = np.unique(base[:size]), np.unique(base)  # as far apart as links allow
-        shared = np.intersect1d(ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den))
-        assert len(shared) and len(ngram_join.signatures(one, num, den)) < 2.5 * (k + 2)
-    assert len(ngram_join.signatures(one, num, den)) < 0.8 * k
+        assert len(np.intersect1d(ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den)))
+        frame = lambda *sets: pd.DataFrame({"x": range(len(sets)), "n": map(len, sets), "sizes": map(ngram_join.profile, sets), "block": 0, "i": 0, "j": 0})
+        other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        assert ngram_join._alike(frame(one, two), num, den) == [(1, 0)]
+        if size > 30:
+            assert ngram_join._alike(frame(one, other, two), num, den) == [(2, 0)]
 
 
 def test_decontamination_of_mid_sentence_and_recased_copies(spark):
