@@ -532,7 +532,7 @@ def test_signatures_and_sizes_of_linked_sets(num, den):
         base = rng.integers(0, 1 << 63, size + k, dtype=np.uint64) * np.uint64(2)
         one, two = np.unique(base[:size]), np.unique(base)  # as far apart as links allow
         assert len(np.intersect1d(ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den)))
-        frame = lambda *sets: pd.DataFrame({"x": range(len(sets)), "n": map(len, sets), "sizes": map(ngram_join.profile, sets), "block": 0, "i": 0, "j": 0})
+        frame = lambda *sets: pd.DataFrame({"x": range(len(sets)), "n": map(len, sets), "sizes": map(ngram_join.profile, sets), "star": range(len(sets)), "block": 0, "i": 0, "j": 0})
         other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
         assert ngram_join._alike(frame(one, two), num, den) == [(1, 0)]
         if size > 30:
