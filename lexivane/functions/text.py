@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that queries leave out when words are matched.
-STOP_WORDS = (
-    "a an the in on at to for of with by from as and or but what where when how why which who"
-    " is are was were be been being have has had do does did i you he she it we they"
-).split()
+STOP_WORDS = [
+    "a", "an", "the",
+    "in", "on", "at", "to", "for", "of", "with", "by", "from", "as",
+    "and", "or", "but",
+    "what", "where", "when", "how", "why", "which", "who",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "i", "you", "he", "she", "it", "we", "they", "this", "that", "these", "those",
+]
 
 # Words too common in code to be keywords.
 COMMON_KEYWORDS = (

@@ -70,3 +70,27 @@ def sweep(features: DataFrame, weights: list[float], k: int) -> DataFrame:
     score = F.round(F.col("w") * F.col("cos") + (1 - F.col("w")) * F.col("b"), 9)
     r = F.row_number().over(Window.partitionBy("w").orderBy(score.desc(), "id"))
     return df.withColumn("r", r).where(F.col("r") <= k).select("w", "id")
+
+
+def golden_scores(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """ranked: qid, id, rank; gold: qid, id of what should be found. top1 and recall among the first k, over the queries with gold: one row."""
+    hits = ranked.where(F.col("rank") <= k).join(gold, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("first"))
+    first = gold.select("qid").distinct().join(hits, "qid", "left")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    return first.agg(share(F.col("first") == 1).alias("top1"), share(F.col("first") <= k).alias("recall"))
+
+
+def hill_climb(score, start: dict[str, float], step: float = 0.02, least: float = 0.005, most: int = 200) -> tuple[dict[str, float], float]:
+    """score: from weights to a figure of merit, computed on a cached table of features. Takes the first better neighbour, one weight up or down by the
+    step; without one the step is halved, until it is below least. The weights, and their figure."""
+    best, value, tries = dict(start), score(start), 0
+    while step >= least and tries < most:
+        for name, sign in [(n, s) for n in sorted(best) for s in (1, -1)]:
+            near = {**best, name: round(max(0.0, best[name] + sign * step), 9)}
+            tries += 1
+            if near != best and (found := score(near)) > value:
+                best, value = near, found
+                break
+        else:
+            step /= 2
+    return best, value

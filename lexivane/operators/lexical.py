@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text as tx
@@ -65,18 +65,28 @@ def capped(scores: DataFrame, top_k: int, factor: int = 3) -> DataFrame:
     return scores.select("id").join(F.broadcast(best), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
+def term_hit(term: str, low: Column, words: Column) -> Column:
+    """A text has a term if it holds it, or a token of four and more characters that the term begins with (document for documentation)."""
+    starts = [term[:k] for k in range(4, len(term))]
+    held = F.contains(low, F.lit(term))
+    return held | F.arrays_overlap(words, F.array(*map(F.lit, starts))) if starts else held
+
+
 def discriminative(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", cap: float = 0.1, penalty: float = 0.16, floor: float = 0.72) -> DataFrame:
-    """id, coverage, boost, penalty: share of the weight of the query's rarer terms (idf at or above the median) that a document has."""
+    """id, coverage, boost, penalty: share of the weight of the query's rarer terms (idf at or above the median) that a document has; 1 without such terms."""
     terms = sorted(set(_tokens(query)))
-    base = docs.select(F.col(id_col).alias("id"), F.filter(F.array_distinct(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))), lambda t: t.isin(terms)).alias("have"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), F.lower(text).alias("low"), F.array_distinct(tx.tokens(text)).alias("words"))
+    hits = [F.when(term_hit(t, F.col("low"), F.col("words")), F.lit(t)) for t in terms] or [F.lit(None).cast("string")]
+    base = base.select("id", F.filter("words", lambda t: t.isin(terms)).alias("have"), F.array_compact(F.array(*hits)).alias("near"))
     n = base.agg(F.count(F.lit(1)).alias("n"))
     df = base.select(F.explode("have").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = df.join(F.broadcast(n)).select("term", scoring.idf(F.col("n"), F.col("df")).alias("idf"))
     middle = weight.agg(F.median("idf").alias("mid"))
     salient = weight.join(F.broadcast(middle)).where("idf >= mid").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("w"), F.sum("idf").alias("all"))
     # one row with a query's terms
-    got = base.join(F.broadcast(salient)).select("id", "all", F.aggregate("have", F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at("w", t), F.lit(0.0))).alias("got"))
-    share = F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(0.0)
+    got = base.join(F.broadcast(salient)).select("id", "all", F.aggregate("near", F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at("w", t), F.lit(0.0))).alias("got"))
+    share = F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(1.0)
     return got.select("id", share.alias("coverage")).select("id", "coverage", (cap * F.col("coverage")).alias("boost"), F.greatest(F.lit(floor), 1 - penalty * (1 - F.col("coverage"))).alias("penalty"))
 
 

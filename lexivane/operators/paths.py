@@ -84,3 +84,15 @@ def longest_prefix(files: DataFrame, roots: DataFrame) -> DataFrame:
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     steps = files.select("path", F.explode(up).alias("root"))
     return steps.join(roots, "root").groupBy("path").agg(F.max_by("name", F.length("root")).alias("project"))
+
+
+def fits_exact(path: Column, wanted: list[str]) -> Column:
+    """The exact track's filter: a glob, or a folder or file at the start of the path or a folder anywhere in it; any of them."""
+    out = F.lit(False)
+    for w in wanted:
+        bare = w.replace("\\", "/").strip("/")
+        if any(c in bare for c in "*?[]{}!"):
+            out = out | path.rlike(tx.glob_regex(bare))
+        else:
+            out = out | (path == bare) | F.startswith(path, F.lit(f"{bare}/")) | F.contains(path, F.lit(f"/{bare}/"))
+    return out

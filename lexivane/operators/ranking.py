@@ -10,6 +10,8 @@ from . import lexical
 
 #: Weights of the documentation module: cosine and BM25.
 WEIGHTS = (0.62, 0.33)
+#: Criteria of each order, the first first.
+ORDERS = {"structured": ["structured", "semantic", "score"], "semantic": ["semantic", "structured", "score"], "combined": ["score"]}
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, probe: list[float], top_k: int = 10, min_score: float = 0.15, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
@@ -40,7 +42,7 @@ def fused(results: DataFrame, exact: DataFrame, factor: float = 1.5) -> DataFram
 
 def ranked(results: DataFrame, by: str, k: int) -> DataFrame:
     """Adds rank, from 1, by one of three orders; equal up to nine places goes to the next criterion, at last the id."""
-    keys = {"structured": ["structured", "semantic", "score"], "semantic": ["semantic", "structured", "score"], "combined": ["score"]}[by]
+    keys = ORDERS[by]
     top = results.orderBy(*(F.round(c, 9).desc() for c in keys), "id").limit(k)
     from pyspark.sql import Window
 

@@ -21,7 +21,7 @@ def _case(cases) -> str:
 _TOKENS = "regexp_extract_all(lower(text), '\\w{2,}')"
 
 
-@query(f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_filter(w, lambda x: NOT list_contains({_listed(tx.STOP_WORDS)}, x)))::BIGINT AS n_kept FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)")
+@query(f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_filter(w, lambda x: NOT list_contains(['a','an','the','in','on','at','to','for','of','with','by','from','as','and','or','but','what','where','when','how','why','which','who','is','are','was','were','be','been','being','have','has','had','do','does','did','i','you','he','she','it','we','they','this','that','these','those'], x)))::BIGINT AS n_kept FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)")
 def stopword_tokens(t):
     w = tx.tokens(F.col("text"))
     return t.documents.select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(tx.without_stop_words(w)).cast("long").alias("n_kept"))

