@@ -86,8 +86,9 @@ def discriminative(docs: DataFrame, query: str, id_col: str = "doc_id", text_col
     salient = weight.join(F.broadcast(middle)).where("idf >= mid").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("w"), F.sum("idf").alias("all"))
     # one row with a query's terms
     got = base.join(F.broadcast(salient)).select("id", "all", F.aggregate("near", F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at("w", t), F.lit(0.0))).alias("got"))
-    share = F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(1.0)
-    return got.select("id", share.alias("coverage")).select("id", "coverage", (cap * F.col("coverage")).alias("boost"), F.greatest(F.lit(floor), 1 - penalty * (1 - F.col("coverage"))).alias("penalty"))
+    some = F.col("all") > 0
+    share = F.when(some, F.col("got") / F.col("all")).otherwise(1.0)
+    return got.select("id", share.alias("coverage"), some.alias("some")).select("id", "coverage", F.when(F.col("some"), cap * F.col("coverage")).otherwise(0.0).alias("boost"), F.greatest(F.lit(floor), 1 - penalty * (1 - F.col("coverage"))).alias("penalty"))
 
 
 def vocabulary_overlap(names: DataFrame, query_words: list[str], id_col: str, name_col: str) -> DataFrame:

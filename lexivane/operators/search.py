@@ -141,9 +141,9 @@ def hybrid(chunks: DataFrame, posts: DataFrame, sizes: DataFrame, vectors: DataF
     share = F.coalesce(got / F.col("whole"), F.lit(1.0))
     coverage = F.size(F.filter("asked", lambda w: F.contains(F.col("low"), w))) / F.greatest(F.size("asked"), F.lit(1))
     cos = F.coalesce(scoring.cosine(F.col("vector"), F.col("embedding")), F.lit(0.0))
-    rows = rows.select("qid", "id", F.coalesce("b", F.lit(0.0)).alias("b"), cos.alias("cos"), share.alias("share"), coverage.alias("coverage"), F.contains("low", F.col("phrase_")).alias("exact"))
+    rows = rows.select("qid", "id", F.coalesce("b", F.lit(0.0)).alias("b"), cos.alias("cos"), share.alias("share"), F.when(F.col("whole").isNotNull(), 0.1 * share).otherwise(0.0).alias("boost"), coverage.alias("coverage"), F.contains("low", F.col("phrase_")).alias("exact"))
     phrase = F.when(F.col("exact"), 0.5).when(F.col("coverage") >= 0.8, 0.2).when(F.col("coverage") >= 0.6, 0.1).otherwise(0.0)
-    blended = (blend[0] * F.col("cos") + blend[1] * F.col("b") + F.col("phrase") + 0.1 * F.col("share")) * F.greatest(F.lit(0.72), 1 - 0.16 * (1 - F.col("share")))
+    blended = (blend[0] * F.col("cos") + blend[1] * F.col("b") + F.col("phrase") + F.col("boost")) * F.greatest(F.lit(0.72), 1 - 0.16 * (1 - F.col("share")))
     rows = rows.withColumn("phrase", phrase).withColumn("score", blended).where((F.col("score") >= min_score) | (F.col("b") > 0.3) | (F.col("phrase") >= 0.2))
     structured = scoring.clamp(blend[1] * F.col("b") + F.least(F.lit(0.2), 0.15 * F.col("coverage")))
     rows = rows.select("qid", "id", "score", scoring.semantic_share(F.col("cos")).alias("semantic"), structured.alias("structured"))

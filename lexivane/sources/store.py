@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .files import qualified
 
 #: Stores of another version are built anew.
-VERSION = "1"
+VERSION = "2"
 #: With this many generations a refresh compacts the store.
 MAX_GENERATIONS = 64
 
@@ -60,15 +62,30 @@ class Store:
     def exists(self) -> bool:
         return bool(self.manifest()["tables"])
 
-    def refresh(self, tables: dict[str, DataFrame], touched: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Replaces the rows of the touched paths by those in tables. batch: (writer, number) that is to be applied once."""
+    @contextmanager
+    def copied(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows as a table of the store for the time of a refresh: read once, so that all that is built from them fits together."""
+        where = self._put("incoming", rows)
+        try:
+            yield self.spark.read.parquet(f"{self.root}/{where}")
+        finally:
+            self._drop([where])
+
+    def refresh(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], touched: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Replaces the rows of the touched paths by those in tables, or by what a function makes of the tables written before it.
+
+        batch: (writer, number) that is to be applied once.
+        """
         told = self.manifest()
         if batch and told["batches"].get(batch[0], -1) >= batch[1]:
             return told["number"]
         new = told["number"] + 1
         told["touched"].append([new, self._put("touched", touched.select("path").distinct())])
-        for name, df in tables.items():
-            told["tables"].setdefault(name, []).append([new, self._put(name, df)])
+        done: dict[str, DataFrame] = {}
+        for name, made in tables.items():
+            where = self._put(name, made(done) if callable(made) else made)
+            done[name] = self.spark.read.parquet(f"{self.root}/{where}")
+            told["tables"].setdefault(name, []).append([new, where])
         told["number"] = new
         if batch:
             told["batches"][batch[0]] = batch[1]
@@ -98,7 +115,7 @@ class Store:
         return rows.join(last, ["path", "gen"], "left_semi").drop("gen")
 
     def compact(self) -> int:
-        """All live rows in one generation; the older ones' files go afterwards."""
+        """All live rows in one generation; the older ones' files go at the next compaction, so that readers that began before can end."""
         told = self.manifest()
         if not told["tables"]:
             return told["number"]
@@ -106,11 +123,15 @@ class Store:
         tables = {name: [[new, self._put(name, self.load(name))]] for name in told["tables"]}
         paths = [self.spark.read.parquet(f"{self.root}/{listed[0][1]}").select("path") for listed in tables.values()]
         touched = [[new, self._put("touched", reduce(DataFrame.union, paths).distinct())]]
-        self._commit({**told, "number": new, "tables": tables, "touched": touched})
-        for _, where in [*told["touched"], *(x for listed in told["tables"].values() for x in listed)]:
+        dropped = [where for _, where in [*told["touched"], *(x for listed in told["tables"].values() for x in listed)]]
+        self._commit({**told, "number": new, "tables": tables, "touched": touched, "dropped": dropped})
+        self._drop(told.get("dropped", []))
+        return new
+
+    def _drop(self, folders: list[str]) -> None:
+        for where in folders:
             at, fs = self._fs(f"{self.root}/{where}")
             fs.delete(at, True)
-        return new
 
     def status(self) -> DataFrame:
         """table_name, files, rows of every table."""
