@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows may be broadcast; beyond it the join is shuffled with salted keys.
+#: A side with at most this many rows may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 50_000
 #: Parts into which a join key is split when its side is too large to broadcast.
 SALTS = 16
@@ -26,6 +26,9 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: A list of at most this many ids may be broadcast to filter rows by it.
 BROADCAST_IDS = 1_000_000
 
+#: Rows of a batch that goes to a Python worker: whole texts are in it.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Stands for a null id while rows are in Python, where a column of whole numbers has no nulls.
 NO_ID = -(1 << 63)
 
@@ -99,31 +102,29 @@ def held(key: str, make: Callable[[], Any]) -> Any:
 def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with one row a key on the right. rows: the counted rows of right.
 
-    Up to `limit` rows are broadcast. Beyond it both sides get a salt, so that a key with a
-    third of all rows is dealt to SALTS tasks.
+    Up to `limit` rows are broadcast. Beyond it the join is shuffled, but for keys with a large share of the left.
     """
     if rows <= limit:
         return left.join(F.broadcast(right), on, "left")
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = left.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
-    return dealt.join(salted, [*on, "_salt"], "left").drop("_salt")
+    return join_uneven(left, right, on, "left")
 
 
-def join_uneven(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join with one row a key on the right, where some keys may hold a large share of the left.
+def join_uneven(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join with one row a key on the right, where some keys may hold a large share of the left.
 
     A key with more than one in UNEVEN of the left's rows is hot; there are fewer than UNEVEN of these, so
-    their right rows are broadcast. The other keys are shuffled. left is read twice: give it a table.
+    their right rows are broadcast. The other keys are shuffled. left is read three times: give it a table.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOT_ROWS)
+    key = [key] if isinstance(key, str) else key
+    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOT_ROWS)
     counts = written(counts, "uneven")
     rows = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not rows[0]:
-        return left.join(right, key)
+        return left.join(right, key, how)
     total = left.count()
-    hot = F.broadcast(counts.where(F.col("_n") * UNEVEN > total).select(key))
-    many = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key)
-    return left.join(hot, key, "left_anti").join(right, key).unionByName(many)
+    hot = F.broadcast(counts.where(F.col("_n") * UNEVEN > total).select(*key))
+    many = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return left.join(hot, key, "left_anti").join(right, key, how).unionByName(many)
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_IDS) -> DataFrame:
@@ -141,7 +142,10 @@ def id_out(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_in(name: str) -> Column:
-    """A text column for Python code: null is empty."""
+    """A text column for Python code: null is empty. Its batches have BATCH_ROWS rows where the session has Spark's default."""
+    spark = SparkSession.active()
+    if spark.conf.get(_BATCH, None) in (None, "10000"):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 

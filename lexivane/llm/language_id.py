@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles.
 
 A profile is a text's, or a language's, PROFILE most frequent character n-grams of lengths 1 to 3
-(letters, lower case, runs of anything else as one blank), by falling count. A document goes to
+(letters of any script, lower case, runs of anything else and the text's end as one blank), by falling count, then by the letters. A document goes to
 the language whose profile has the smallest out-of-place distance: the sum over the document's
 n-grams of the difference of ranks, and PROFILE for those that the profile lacks.
 
@@ -9,7 +9,8 @@ Profiles are learned from labelled rows of the learning folds, from a sample of
 and text. Each language has an equal part of it, LEAST at least: a language with fewer rows than that is learned from
 all of them, and none is left without rows. Defined cases: a null text and one without letters is `und` with score 0; ties go to
 the language first in order; whole texts are used whatever their length; repeated rows each come
-back; without learned rows everything is `und`; a null id is in a learning fold.
+back; without learned rows everything is `und`; a null id is in a learning fold; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SAMPLE = 20_000
 LEAST = 500
 #: Characters that are sorted at once; a longer text is alone.
 BLOCK = 1_000_000
+#: Bits of a letter's number, and texts that are sorted at once: both fit 64 bits with three letters.
+LETTER_BITS, TEXTS = 18, 1000
 UND = "und"
 
 
@@ -40,43 +43,43 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 
 @cache
 def _letters() -> np.ndarray:
-    """Lower-case code of every letter below 0x10000, 32 for what is no letter."""
-    out = np.full(1 << 16, 32, dtype=np.uint64)
-    for c in range(1 << 16):
-        if chr(c).isalpha():
-            low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else c
+    """Number of the lower-case form of every letter, 0 for what is no letter; numbers follow the code points and have LETTER_BITS bits."""
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    number = np.zeros(0x110000, dtype=np.uint32)
+    number[every] = np.arange(1, len(every) + 1)
+    low = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in every]
+    out = np.zeros(0x110000, dtype=np.uint32)
+    out[every] = np.where(number[low] > 0, number[low], number[every])
     return out
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, n-gram and count, by text and n-gram."""
-    codes = np.frombuffer(" ".join(texts).encode("utf-32-le"), dtype="<u4")
-    codes = _letters()[np.minimum(codes, 0xFFFF)]  # what lies beyond counts as no letter
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 1 for t in texts])[: len(codes)]
-    keep = codes != 32
-    keep[1:] |= codes[:-1] != 32
+    """Text number, n-gram and count, by text and n-gram. Each text ends with a blank; there are at most TEXTS texts."""
+    codes = _letters()[np.frombuffer("".join(f"{t} " for t in texts).encode("utf-32-le", "replace"), dtype="<u4")].astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 1 for t in texts])
+    keep = codes != 0
+    keep[1:] |= codes[:-1] != 0
     codes, owner = codes[keep], owner[keep]
     keys = []
     for n in (1, 2, 3):
         if len(codes) < n:
             continue
-        key = owner[: len(codes) - n + 1] << np.uint64(48)
+        key = owner[: len(codes) - n + 1] << np.uint64(3 * LETTER_BITS)
         for k in range(n):
-            key = key | (codes[k : len(codes) - n + 1 + k] << np.uint64(16 * k))
+            key = key | (codes[k : len(codes) - n + 1 + k] << np.uint64(LETTER_BITS * k))
         good = owner[: len(codes) - n + 1] == owner[n - 1 :]
         if n == 1:
-            good &= codes != 32
+            good &= codes != 0
         keys.append(key[good])
     key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
     key, count = np.unique(key, return_counts=True)
-    return key >> np.uint64(48), key & np.uint64((1 << 48) - 1), count
+    return key >> np.uint64(3 * LETTER_BITS), key & np.uint64((1 << 3 * LETTER_BITS) - 1), count
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and (size + len(t) > BLOCK or i - start >= 60_000):
+        if i > start and (size + len(t) > BLOCK or i - start >= TEXTS):
             yield start, i
             start, size = i, 0
         size += len(t) + 1
@@ -142,9 +145,6 @@ def predict(texts: list[str], profiles: dict[str, np.ndarray]) -> tuple[list[str
         for i in np.flatnonzero(used).tolist():
             langs[start + i] = names[best[i]]
             scores[start + i] = float(1 - far[best[i], i] / (used[i] * PROFILE))
-    for i, text in enumerate(texts):  # letters beyond the codes above alone: nothing to go by
-        if langs[i] == UND and not text.isascii() and any(map(str.isalpha, text)):
-            langs[i] = names[0]
     return langs, scores
 
 

@@ -28,7 +28,7 @@ from .common import Recent, held, id_in, id_out, text_in
 
 SPACE = "▁"
 #: Units whose ids a worker keeps, and characters indexed at once.
-CACHE, INDEX_CHARS = 250_000, 400_000
+CACHE, INDEX_CHARS = 150_000, 400_000
 #: Characters of a unit that is indexed alone, by a sliding index.
 LONG_UNIT = 2000
 #: Pairs of pieces whose fit a worker keeps: 2 to this power.
@@ -374,12 +374,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = vocabulary(path)
         for b in batches:
-            for at in range(0, len(b), 2048):
-                part = b.iloc[at : at + 2048]
-                rows = []
-                for i, text, ids in zip(part["id"].tolist(), part["text"].tolist(), own.encode(part["text"].tolist())):
-                    rows.append((i, ids, len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text.replace(SPACE, " ")))
-                yield pd.DataFrame(rows, columns=["doc_id", "ids", "n_tokens", "ids_crc32", "same"])
+            rows = []
+            for i, text, ids in zip(b["id"].tolist(), b["text"].tolist(), own.encode(b["text"].tolist())):
+                rows.append((i, ids, len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text.replace(SPACE, " ")))
+            yield pd.DataFrame(rows, columns=["doc_id", "ids", "n_tokens", "ids_crc32", "same"])
+        own.kept.clear()  # the next task may be another operator's
+        own.kept.older = {}
 
     df = docs.select(id_in(id_col).alias("id"), text_in(text_col).alias("text"))
     return id_out(df.mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, same boolean"), "doc_id")

@@ -7,7 +7,8 @@ of proportions) are merged into one branch; a path that is alone under its prefi
 are bad, smoothed towards the corpus's share, is above MAX_BAD. Urls shrink to distinct typed
 paths before anything is joined, so a host with a third of all rows is a few rows here.
 
-Defined cases: a null url or one without "://" has empty host and path, fits no rule and gets the
+Defined cases: rules of equal length can't both fit unless they are equal, then the later in order of their text holds; very long paths are cut
+into all their segments; a null id and columns of any names come through; a null url or one without "://" has empty host and path, fits no rule and gets the
 verdict of the template of that empty path; repeated rows each come back; without labels nothing
 is rejected by a template; an empty table gives an empty result.
 """
@@ -76,13 +77,14 @@ def templates(leaves: DataFrame) -> DataFrame:
         tree = tree.withColumn("prefix", F.concat_ws("/", F.slice("t", 1, d - 1))).withColumn("seg", F.get("t", F.lit(d - 1)))
         child = tree.groupBy("host", "prefix", "seg").agg(F.count(F.lit(1)).alias("leaves"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         over = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(c).alias(f"all_{c}") for c in ("leaves", "n", "labelled", "bad")))
-        child = child.join(over, ["host", "prefix"])
+        over = written(over, "prefixes")
+        child = join_small(written(child, "children"), over, ["host", "prefix"], over.count())  # a host's prefix may have very many children
         rate = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(0.0)
         error = F.sqrt(rate * (1 - rate) / F.col("labelled"))
         similar = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.col("labelled") - rate) <= SIMILAR * error)
         variable = (F.col("kinds") > MANY) & (F.col("kinds") > MANY_SHARE * F.col("all_n"))
         child = child.select("host", "prefix", "seg", ((F.col("kinds") > 1) & (variable | similar)).alias("merge"), (F.col("all_leaves") > 1).alias("shared"))
-        tree = tree.join(child, ["host", "prefix", "seg"], "left")
+        tree = tree.join(child, ["host", "prefix", "seg"], "left")  # both have few rows a key: the leaves are distinct
         put = F.concat(F.slice("t", 1, d - 1), F.array(F.lit("*")), F.slice("t", F.lit(d + 1), F.size("t")))
         tree = tree.withColumn("t", F.when(F.col("merge"), put).otherwise(F.col("t"))).withColumn("more", F.col("shared") & (F.size("typed") > d))
         tree = written(tree.drop("merge", "shared", "prefix", "seg"), "level")
@@ -116,7 +118,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     share = bad / labelled if labelled else 0.0
     whole = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     whole = whole.select("host", "template", F.round((F.col("b") + F.lit(PRIOR * share)) / (F.col("l") + PRIOR), 6).alias("bad_share"))
-    judged = written(tree.select("host", "typed", "template").join(whole, ["host", "template"]), "judged")
+    whole = written(whole, "templates")
+    judged = written(join_small(tree.select("host", "typed", "template"), whole, ["host", "template"], whole.count(), broadcast_rows), "judged")
     out = join_small(df, judged, ["host", "typed"], judged.count(), broadcast_rows)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") > MAX_BAD, "block").otherwise("allow")

@@ -531,7 +531,12 @@ def test_signatures_and_sizes_of_linked_sets(num, den):
         k = size * (den - num) // num
         base = rng.integers(0, 1 << 63, size + k, dtype=np.uint64) * np.uint64(2)
         one, two = np.unique(base[:size]), np.unique(base)  # as far apart as links allow
-        assert len(np.intersect1d(ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den)))
+        (a, tags), (b, other_tags) = ngram_join.signatures(one, num, den), ngram_join.signatures(two, num, den)
+        shared = np.intersect1d(a, b)
+        band = tags[np.isin(a, shared)] >> 16
+        assert len(shared) and len(set(band.tolist())) == 1 and set(band.tolist()) <= set((other_tags >> 16).tolist())
+        for t in (tags, other_tags):
+            assert len(shared) > (t[(t >> 16) == band[0]] & 0xFFFF).max()
         frame = lambda *sets: pd.DataFrame({"x": range(len(sets)), "n": map(len, sets), "sizes": map(ngram_join.profile, sets), "star": range(len(sets)), "block": 0, "i": 0, "j": 0})
         other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
         assert ngram_join._alike(frame(one, two), num, den) == [(1, 0)]
@@ -603,3 +608,111 @@ def test_decontamination_of_other_numbers_and_names(spark):
     texts = [f"Some words first. {t}. And more after it." for t in same] + other
     got = {r["doc_id"]: r["contaminated"] for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
     assert got == {k: k < 20 for k in range(40)}
+
+
+def brute_grams(text):
+    """Counts of a text's n-grams, and their order among equals: the last letter counts most, a blank least."""
+    import itertools
+
+    parts = ["".join(g) if letter else " " for letter, g in itertools.groupby(f"{text} ", key=str.isalpha)]
+    plain = "".join(x.lower() if len(x.lower()) == 1 else x for x in "".join(parts)).lstrip(" ")
+    return Counter(g for n in (1, 2, 3) for k in range(len(plain) - n + 1) if (g := plain[k : k + n]) != " ")
+
+
+def brute_rank(counts):
+    number = lambda g: tuple(0 if c == " " else ord(c) for c in reversed(g.ljust(3, " ")))
+    return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], number(g)))[: language_id.PROFILE])}
+
+
+def test_language_id_against_dictionaries(spark):
+    random.seed(9)
+    own = {"en": "the and of that with this there which", "de": "der und die nicht ein schön für über ß", "fr": "les une des être pour avec français où", "xx": "\U00010400\U00010401\U00010402 \U00020000\U00020001 \U00010428\U00010429"}
+    rows = [(i, " ".join(random.choices(own[lang].split(), k=random.randint(1, 25))) + random.choice(["", ".", " 12!", "\n"]), lang) for i, lang in enumerate(random.choices(list(own), k=160))]
+    rows += [(900, "İstanbul ǅ \ud800 x".replace("\ud800", ""), None), (901, "\U00010401\U00010402", None), (902, None, "en"), (903, "12 34", None), (904, "the " * 300_000, None), (1, rows[1][1], rows[1][2]), (None, "und die", "de")]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    learned = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang and text is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            learned[lang] += brute_grams(text)
+    profiles = {lang: brute_rank(c) for lang, c in sorted(learned.items())}
+    want = []
+    for i, text, _ in rows:
+        mine = brute_rank(brute_grams(text or ""))
+        if not mine:
+            want.append((i, "und", 0.0))
+            continue
+        far = {lang: sum(abs(r - p[g]) if g in p else language_id.PROFILE for g, r in mine.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        want.append((i, best, round(1 - far[best] / (len(mine) * language_id.PROFILE), 9)))
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, language_id.learn(docs)).collect()]
+    by = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(got, key=by) == sorted(want, key=by)
+    assert {i: lang for i, lang, _ in got}[901] == "xx"
+    assert language_id.identify(docs.where("false"), language_id.learn(docs.where("false"))).count() == 0
+
+
+def brute_stages(spark, rows, labels, bench):
+    """The pipeline's rows by plain Python: the classifier's and decontamination's models are the operators', everything else is written here."""
+    crf = quality_crf.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), labels)
+    kept = [r for r, s in zip(rows, crf.score([r[1] or "" for r in rows])) if s >= 0.5]
+    passed = lambda t: (w := brute_rules(t))[0] >= 50 and 2 * w[4] <= w[0]
+    hosts = defaultdict(list)
+    for r in kept:
+        hosts[r[3]].append(not passed(r[1]))
+    share = sum(sum(v) for v in hosts.values()) / max(1, sum(map(len, hosts.values())))
+    assert share < 0.5  # no host is near rejection in these rows
+    kept = [r for r in kept if passed(r[1])]
+    words = [r[1].lower().split() for r in kept]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    links = [(a, b) for b in range(len(kept)) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root = smallest_linked(range(len(kept)), links)
+    least = {}
+    for k, r in root.items():
+        if r not in least or kept[k][0] < kept[least[r]][0]:
+            least[r] = k
+    kept = [kept[k] for k in sorted(least.values())]
+    items = [t for _, t in bench]
+    return [r for r, found in zip(kept, brute_items([r[1] for r in kept], items).values()) if not found]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    random.seed(21)
+    vocabulary = ["".join(random.choices("abcdefghijklm", k=random.randint(3, 8))) for _ in range(900)]
+    line = lambda n: " ".join(random.choices(vocabulary, k=n)).capitalize() + "."
+    good = lambda: "\n".join(line(random.randint(15, 30)) for _ in range(4))
+    bad = lambda: "\n".join(" ".join(w.upper() + "!!" for w in random.choices(vocabulary, k=20)) for _ in range(4))
+    bench = [(i, line(20)) for i in range(6)]
+    texts = [good() for _ in range(150)] + [bad() for _ in range(60)]
+    texts += [" ".join(w if k % 40 else "changed" for k, w in enumerate(texts[i].split(" "))) for i in range(0, 40, 2)]  # near copies
+    texts += [texts[5]] * 4 + [f"{good()}\n{t.lower() if i % 2 else t}\n{good()}" for i, t in bench] + ["too short", "", None, line(60) * 3]
+    random.shuffle(texts)
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    quality = [(i, int(not (t or "").isupper())) for i, t, *_ in rows if t and len(t.split()) > 50]
+    labels = spark.createDataFrame(quality, "doc_id long, quality int")
+    for name, df in (("documents", spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")), ("labels", labels), ("benchmark", spark.createDataFrame(bench, "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    want = brute_stages(spark, rows, labels, bench)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert 100 < len(want) < 200
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == {r[0]: lib.encode(r[1]) for r in want} and len(got) == len(want)
+
+
+def test_pipeline_stages_keep_the_columns_and_take_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, ids array<int>, component_id long"
+    rows = [(None, None, None, None, None, 1.0, [1], 2), (1, "", "en", "s", 0, 1.0, [1], 2), (1, "", "en", "s", 0, 1.0, [1], 2), (2, " ".join(f"word{i}" for i in range(20_000)), "en", "s", 9, 1.0, [1], 2)]
+    for table, schema_ in (("labels", "doc_id long, quality int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema_).write.parquet(f"{tmp_path}/{table}.parquet")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+            docs = docs.cache()
+            docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() <= 1
