@@ -43,12 +43,12 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 
 @cache
 def _letters() -> np.ndarray:
-    """Number of the lower-case form of every letter, 0 for what is no letter; numbers follow the code points and have LETTER_BITS bits."""
+    """Number of the lower-case form of every letter, 1 for what is no letter; numbers follow the code points and have LETTER_BITS bits. 0 is no character."""
     every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
     number = np.zeros(0x110000, dtype=np.uint32)
-    number[every] = np.arange(1, len(every) + 1)
+    number[every] = np.arange(2, len(every) + 2)
     low = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in every]
-    out = np.zeros(0x110000, dtype=np.uint32)
+    out = np.ones(0x110000, dtype=np.uint32)
     out[every] = np.where(number[low] > 0, number[low], number[every])
     return out
 
@@ -57,8 +57,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, n-gram and count, by text and n-gram. Each text ends with a blank; there are at most TEXTS texts."""
     codes = _letters()[np.frombuffer("".join(f"{t} " for t in texts).encode("utf-32-le", "replace"), dtype="<u4")].astype(np.uint64)
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) + 1 for t in texts])
-    keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
+    keep = codes != 1
+    keep[1:] |= codes[:-1] != 1
     codes, owner = codes[keep], owner[keep]
     keys = []
     for n in (1, 2, 3):
@@ -69,7 +69,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             key = key | (codes[k : len(codes) - n + 1 + k] << np.uint64(LETTER_BITS * k))
         good = owner[: len(codes) - n + 1] == owner[n - 1 :]
         if n == 1:
-            good &= codes != 0
+            good &= codes != 1
         keys.append(key[good])
     key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
     key, count = np.unique(key, return_counts=True)

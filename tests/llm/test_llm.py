@@ -537,7 +537,7 @@ def test_signatures_and_sizes_of_linked_sets(num, den):
         assert len(shared) and len(set(band.tolist())) == 1 and set(band.tolist()) <= set((other_tags >> 16).tolist())
         for t in (tags, other_tags):
             assert len(shared) > (t[(t >> 16) == band[0]] & 0xFFFF).max()
-        frame = lambda *sets: pd.DataFrame({"x": range(len(sets)), "n": map(len, sets), "sizes": map(ngram_join.profile, sets), "star": range(len(sets)), "block": 0, "i": 0, "j": 0})
+        frame = lambda *sets: pd.DataFrame({"x": range(len(sets)), "n": map(len, sets), "sizes": map(ngram_join.profile, sets), "star": range(len(sets)), "keys": [[1]] * len(sets), "block": 0, "i": 0, "j": 0})
         other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
         assert ngram_join._alike(frame(one, two), num, den) == [(1, 0)]
         if size > 30:
@@ -611,7 +611,7 @@ def test_decontamination_of_other_numbers_and_names(spark):
 
 
 def brute_grams(text):
-    """Counts of a text's n-grams, and their order among equals: the last letter counts most, a blank least."""
+    """Counts of a text's n-grams."""
     import itertools
 
     parts = ["".join(g) if letter else " " for letter, g in itertools.groupby(f"{text} ", key=str.isalpha)]
@@ -620,7 +620,8 @@ def brute_grams(text):
 
 
 def brute_rank(counts):
-    number = lambda g: tuple(0 if c == " " else ord(c) for c in reversed(g.ljust(3, " ")))
+    """Ranks; of equal counts the last letter counts most, a blank less than any letter, and none least."""
+    number = lambda g: tuple(1 if c == " " else ord(c) for c in reversed(g.ljust(3, "\0")))
     return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], number(g)))[: language_id.PROFILE])}
 
 
