@@ -233,11 +233,12 @@ def _blocked(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def _covered(stars: DataFrame, lists: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
-    """stars: x, p, a list's members and pivots; lists: key, x, p, the members of lists of three and more, pivots included. Returns x, p of the
-    stars that cover what the sizes of fragments leave of each list.
+    """stars: x, p, two, a list's members and pivots, and whether a list has nobody else; lists: key, x, p, the members of lists of three and
+    more, pivots included. Returns x, p of the stars that cover what the sizes of fragments leave of each list.
 
-    First every member is compared with its lists' pivots, and kept with the smallest that it may link with. Then blocks of
-    members of one pivot's lists, as far as these aren't of one such star, are compared with each other.
+    First every member is compared with its lists' pivots, and kept with the smallest that it may link with, and with all that a list
+    of two pairs it with: no other list may have both. Then blocks of members of one pivot's lists, as far as these aren't of one
+    such star, are compared with each other.
     """
 
     @F.pandas_udf("boolean")
@@ -251,8 +252,9 @@ def _covered(stars: DataFrame, lists: DataFrame, signed: DataFrame, num: int, de
     rows = stars.join(bounded(large, large.count()), "p", "left").withColumn("blocks", blocks).drop("m")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     pivots = rows.select("p", "block").distinct().join(sizes.select(F.col("row").alias("p"), F.col("n").alias("pn"), F.col("sizes").alias("own")), "p")
-    rows = written(rows.join(sizes.withColumnRenamed("row", "x"), "x").join(pivots, ["p", "block"]).select("x", "p", "block", "blocks", near("n", "sizes", "pn", "own").alias("near")), "compared")
+    rows = written(rows.join(sizes.withColumnRenamed("row", "x"), "x").join(pivots, ["p", "block"]).select("x", "p", "two", near("n", "sizes", "pn", "own").alias("near")), "compared")
     first = written(rows.where("near").groupBy("x").agg(F.min("p").alias("star")), "first")
+    twos = rows.where("near AND two").select("x", "p")
     # lists whose members are of several stars
     own = lists.join(bounded(first, first.count()), "x", "left").withColumn("star", F.coalesce("star", "x"))
     open_ = own.groupBy("key").agg(F.min("star").alias("a"), F.max("star").alias("b")).where("a < b").select("key")
@@ -268,7 +270,7 @@ def _covered(stars: DataFrame, lists: DataFrame, signed: DataFrame, num: int, de
         return _groups(batches, ["p", "i", "j"], lambda g: _alike(g, num, den) if len(g["x"]) > 1 else [], ["x", "p"])
 
     more = _blocked(own, "p", "x").mapInPandas(run, "x long, p long")
-    return first.select("x", F.col("star").alias("p")).union(more).distinct()
+    return first.select("x", F.col("star").alias("p")).union(twos).union(more).distinct()
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
@@ -460,8 +462,8 @@ def _compared(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     by_length = Window.partitionBy("x", "tag").orderBy(F.desc("m"), "key")
     long = long.withColumn("r", F.row_number().over(by_length)).where(F.col("r") > F.col("tag").bitwiseAND(0xFFFF))
     long = written(long.select("key", "x", "p"), "long")
-    pairs = long.where("x > p").select("x", "p").union(lists.where("m = 2").select(F.col("q").alias("x"), "p"))
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = long.where("x > p").select("x", "p", F.lit(False).alias("two")).union(lists.where("m = 2").select(F.col("q").alias("x"), "p", F.lit(True)))
+    pairs = written(pairs.groupBy("x", "p").agg(F.max("two").alias("two")), "pairs")
     forget(lists)
     stars = written(_covered(pairs, long, signed, num, den), "covered")
     for table in (signed, pairs, long):

@@ -717,3 +717,26 @@ def test_pipeline_stages_keep_the_columns_and_take_odd_tables(spark, tmp_path):
             docs = docs.cache()
             docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() <= 1
+
+
+def test_ngram_join_keeps_links_of_lists_of_two(spark):
+    """A text that links with two others, with each of them by lists that hold nothing else."""
+    parts = 43  # fragments of sets of 162 to 242 at 0.9
+    spot = lambda w: int(ngram_join.shingles(w, 1)[0]) * parts >> 64
+    words, spare = [f"w{i}" for i in range(242)], [f"z{i}" for i in range(4000)]
+
+    def changed(touched):
+        """12 words go and 12 come, each in a fragment of its own of those."""
+        gone = {spot(w): w for w in words if spot(w) in touched}
+        new = {spot(w): w for w in spare if spot(w) in touched}
+        where = sorted(gone)[:12]
+        assert len(where) == 12
+        return [w for w in words if w not in {gone[k] for k in where}] + [new[k] for k in sorted(touched - set(where))[:12]]
+
+    one, two = changed(set(range(0, 24))), changed(set(range(19, 43)))
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(words))]
+    assert len(set(words) & set(one)) == len(set(words) & set(two)) == 230  # 230 of 254 link, one and two have 218 to 224 of 260 and more
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngram_join.jaccard_join(docs, n=1, similarity=0.9).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 242, 1, 1), (2, 242, 1, 1), (3, 242, 1, 2)]
+    assert sorted(tuple(r) for r in ngram_join.links(docs, n=1, similarity=0.9).collect()) == [(1, 3, 1, 1), (2, 3, 1, 1)]
