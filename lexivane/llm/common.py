@@ -29,6 +29,9 @@ BROADCAST_IDS = 1_000_000
 #: Rows of a batch that goes to a Python worker: whole texts are in it.
 BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Whether a query's shuffle files are deleted when it ends; else they stay until the driver collects its garbage.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Stands for a null id while rows are in Python, where a column of whole numbers has no nulls.
 NO_ID = -(1 << 63)
 
@@ -57,10 +60,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors. The shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLES_GO)
+        else:
+            spark.conf.set(_SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -7,8 +7,9 @@ itself, in whatever task the fragment's rows meet, and the partial counts are su
 Candidates come from finer fragments of the same order. A pair that links at similarity s differs in at most (1 - s) / s
 of the smaller set's size, k n-grams (a ninth at 0.9, a quarter at 0.8), so when more than k finer fragments
 aren't empty, one of them agrees as a whole. Fingerprints of whole fragments are thus exact signatures: a pair that shares
-none can't link, and a frequent n-gram alone makes no candidates. As SLACK more agree than one, each set can leave out as many of its
-longest lists: what unrelated texts share, a common passage, is in few of them.
+none can't link, and a frequent n-gram alone makes no candidates. There are so many that about SLACK more agree than one even in a band's
+smallest sets, some of whose fragments are empty, and each set can leave out as many of its longest lists: what unrelated texts share, a
+common passage, is in few of them.
 
 Rows are told apart by a number of their own. Rows with equal sets are one class; links are sought between class
 representatives. A list of representatives with equal fingerprint is not expanded into pairs of rows. Its members are dealt to
@@ -32,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from fractions import Fraction
 from functools import cache
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -44,7 +46,8 @@ from .common import NO_ID, bounded, forget, id_in, id_out, text_in, written
 N = 3
 #: Links have at least this share of their union in common.
 SIMILARITY = 0.9
-#: Fragments beyond those that the differences of a linked pair can touch: so many more agree at least, and so many of a set's longest lists can go.
+#: Fragments that aren't empty beyond those that the differences of a linked pair can touch, in a band's smallest sets on average: so many more
+#: agree, and so many of a set's longest lists can go.
 SLACK = 16
 #: Sizes are dealt to bands, each this much wider than the one before; a pair meets in its smaller size's band.
 GROWTH = 1.5
@@ -54,8 +57,6 @@ COUNTED = 8
 BLOCK, WIDTH = 256, 4096
 #: Sizes of fragments that are compared at once.
 PAIRS = 4_000_000
-#: Lists of three and more members: up to this many go to all tasks, beyond it the join is shuffled.
-MAX_LISTS = 200_000
 MAX_ROUNDS = 60
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -98,6 +99,20 @@ def bands(num: int, den: int) -> list[int]:
     return out
 
 
+@cache
+def parts_of(lower: int, largest: int, num: int, den: int) -> tuple[int, int]:
+    """touched: how many n-grams two linked sets of a band differ in at most; and the band's number of fragments.
+
+    Of parts fragments, a set of lower n-grams leaves parts * exp(-lower / parts) empty on average. A set with touched or fewer
+    that aren't empty has to keep the empty ones as well, which it shares with sets that it has nothing in common with.
+    """
+    touched = largest * (den - num) // num
+    parts = want = touched + 1 + SLACK
+    while parts * (1 - exp(-lower / parts)) < want and parts < 4 * want:
+        parts += 1 + parts // 1000
+    return touched, parts
+
+
 def signatures(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the fragments, for the band of the set's size and each band of smaller partners; and band << 16 | spare of each.
 
@@ -113,8 +128,7 @@ def signatures(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.nd
         largest = lower[band + 1] - 1
         if band < here and den * largest < num * n:
             break
-        touched = largest * (den - num) // num
-        parts = touched + 1 + SLACK
+        touched, parts = parts_of(lower[band], largest, num, den)
         ends = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(grams, ends), [n]])
         sizes = np.diff(at)
@@ -122,6 +136,7 @@ def signatures(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.nd
         spare = int(keep.sum()) - touched - 1
         if spare < 0:  # then an empty fragment may be all that a pair shares
             keep[:], spare = True, 0
+        spare = min(spare, 0xFFFF)
         key = mix((sums[at[1:]] - sums[at[:-1]]) * _M1 + np.arange(parts, dtype=np.uint64) * _M2 + sizes.astype(np.uint64) * _M3 + np.uint64(band))
         keys.append(np.unique(key[keep]))
         tags.append(np.full(len(keys[-1]), band << 16 | spare, dtype=np.int32))
@@ -232,7 +247,7 @@ def _blocked(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
 
 
-def _covered(stars: DataFrame, lists: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+def _covered(stars: DataFrame, lists: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """stars: x, p, two, a list's members and pivots, and whether a list has nobody else; lists: key, x, p, the members of lists of three and
     more, pivots included. Returns x, p of the stars that cover what the sizes of fragments leave of each list.
 
@@ -245,7 +260,6 @@ def _covered(stars: DataFrame, lists: DataFrame, signed: DataFrame, num: int, de
     def near(n: pd.Series, sizes: pd.Series, m: pd.Series, others: pd.Series) -> pd.Series:
         return pd.Series(_near(n.to_numpy(), sizes.to_numpy(), m.to_numpy(), others.to_numpy(), num, den))
 
-    sizes = signed.select("row", "n", "sizes")
     many = written(stars.groupBy("p").agg(F.count(F.lit(1)).alias("m")), "many")
     large = many.where(F.col("m") >= BLOCK)
     blocks = F.ceil((F.coalesce("m", F.lit(0)) + 1) / BLOCK).cast("int")
@@ -452,21 +466,22 @@ def _compared(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     # a class's smallest row stands for it
     copies = member.where(F.col("row") != F.col("rep")).select("row")
     whole = signed.where(F.size("keys") > 0).select("row", "keys", "tags").join(bounded(copies, copies.count()), "row", "left_anti")
-    keys = whole.select("row", F.explode("keys").alias("key"))
-    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("p"), F.max("row").alias("q")).where("p < q")
+    keys = whole.select(F.col("row").alias("x"), F.explode(F.arrays_zip("keys", "tags")).alias("k")).select("x", F.col("k.keys").alias("key"), F.col("k.tags").alias("tag"))
+    # the keys, most of which occur once, are moved once
+    alike = Window.partitionBy("key")
+    lists = keys.select("*", *(f("x").over(alike).alias(c) for f, c in ((F.count, "m"), (F.min, "p"), (F.max, "q")))).where("p < q")
     lists = written(lists, "lists")
-    longer = lists.where("m > 2").select("key", "p", "m")
-    long = whole.select("row", F.explode(F.arrays_zip("keys", "tags")).alias("k")).select(F.col("row").alias("x"), F.col("k.keys").alias("key"), F.col("k.tags").alias("tag"))
-    long = long.join(bounded(longer, longer.count(), MAX_LISTS), "key")
+    sizes = written(signed.select("row", "n", "sizes"), "sizes")
+    forget(signed)
     # a pair that shares more than `spare` lists of a band shares one besides each one's `spare` longest
     by_length = Window.partitionBy("x", "tag").orderBy(F.desc("m"), "key")
-    long = long.withColumn("r", F.row_number().over(by_length)).where(F.col("r") > F.col("tag").bitwiseAND(0xFFFF))
+    long = lists.where("m > 2").withColumn("r", F.row_number().over(by_length)).where(F.col("r") > F.col("tag").bitwiseAND(0xFFFF))
     long = written(long.select("key", "x", "p"), "long")
-    pairs = long.where("x > p").select("x", "p", F.lit(False).alias("two")).union(lists.where("m = 2").select(F.col("q").alias("x"), "p", F.lit(True)))
+    pairs = long.where("x > p").select("x", "p", F.lit(False).alias("two")).union(lists.where("m = 2 AND x = q").select("x", "p", F.lit(True)))
     pairs = written(pairs.groupBy("x", "p").agg(F.max("two").alias("two")), "pairs")
     forget(lists)
-    stars = written(_covered(pairs, long, signed, num, den), "covered")
-    for table in (signed, pairs, long):
+    stars = written(_covered(pairs, long, sizes, num, den), "covered")
+    for table in (sizes, pairs, long):
         forget(table)
     many = written(stars.groupBy("p").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "many")
     stars = stars.join(bounded(many, many.count()), "p", "left")

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexivane.llm import (
+    common,
     decontamination,
     language_id,
     ngram_join,
@@ -721,7 +724,7 @@ def test_pipeline_stages_keep_the_columns_and_take_odd_tables(spark, tmp_path):
 
 def test_ngram_join_keeps_links_of_lists_of_two(spark):
     """A text that links with two others, with each of them by lists that hold nothing else."""
-    parts = 43  # fragments of sets of 162 to 242 at 0.9
+    _, parts = ngram_join.parts_of(162, 242, 9, 10)
     spot = lambda w: int(ngram_join.shingles(w, 1)[0]) * parts >> 64
     words, spare = [f"w{i}" for i in range(242)], [f"z{i}" for i in range(4000)]
 
@@ -733,10 +736,39 @@ def test_ngram_join_keeps_links_of_lists_of_two(spark):
         assert len(where) == 12
         return [w for w in words if w not in {gone[k] for k in where}] + [new[k] for k in sorted(touched - set(where))[:12]]
 
-    one, two = changed(set(range(0, 24))), changed(set(range(19, 43)))
+    one, two = changed(set(range(0, 24))), changed(set(range(parts - 24, parts)))
     rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(words))]
     assert len(set(words) & set(one)) == len(set(words) & set(two)) == 230  # 230 of 254 link, one and two have 218 to 224 of 260 and more
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = ngram_join.jaccard_join(docs, n=1, similarity=0.9).collect()
     assert sorted(tuple(r) for r in got) == [(1, 242, 1, 1), (2, 242, 1, 1), (3, 242, 1, 2)]
     assert sorted(tuple(r) for r in ngram_join.links(docs, n=1, similarity=0.9).collect()) == [(1, 3, 1, 1), (2, 3, 1, 1)]
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_unrelated_long_texts_share_no_lists(spark, num, den):
+    """Empty fragments are no signatures, at whatever place in its band a set's size lies."""
+    rng, seen = np.random.default_rng(3), []
+    for size in (600, 947, 1421, 1500, 4000, 9000):
+        lower = ngram_join.bands(num, den)
+        band = int(np.searchsorted(lower, size, side="right")) - 1
+        for n in (lower[band], size, lower[band + 1] - 1):
+            keys, tags = ngram_join.signatures(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)), num, den)
+            assert (tags & 0xFFFF).min() > 0
+            seen.append(keys)
+    assert np.unique(np.concatenate(seen), return_counts=True)[1].max() == 1
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    env, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {f for d in env.blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(key, None)
+    df = spark.range(1000).repartition(3, "id")
+    common.written(df, "t")
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key, None) == setting
+    df.collect()
+    assert files() - before  # others keep theirs
