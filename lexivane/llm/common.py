@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,10 +109,46 @@ def held(key: str, make: Callable[[], Any]) -> Any:
     """What a worker process keeps between tasks: one operator's tables and cache, so that the next operator has their memory."""
     if key not in _held:
         _held.clear()
+        give_back()
         _held[key] = make()
     return _held[key]
 
 
+#: glibc's M_MMAP_THRESHOLD, and the bytes from which an array's memory goes back to the system as soon as the array is gone.
+_MMAP_THRESHOLD, WHOLE_BYTES = -3, 1 << 18
+
+_told: list[bool] = []
+
+
+def give_back() -> None:
+    """Gives the memory that this process has freed back to the system: else it stays until the worker ends, beside the next operator's."""
+    if "pyarrow" in sys.modules:
+        sys.modules["pyarrow"].default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sparing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInPandas: large arrays go back to the system when they are gone, the rest that it freed when its task ends."""
+
+    def spared(batches: Iterator) -> Iterator:
+        spare()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return spared
+
+
+def spare() -> None:
+    """Once a process: without a fixed threshold glibc keeps arrays of up to 32 MB for itself."""
+    if not _told:
+        _told.append(True)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(_MMAP_THRESHOLD, WHOLE_BYTES)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with one row a key on the right. rows: the counted rows of right.
 

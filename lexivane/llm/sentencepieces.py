@@ -24,13 +24,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, held, id_in, id_out, text_in
+from .common import Recent, held, id_in, id_out, sparing, text_in
 
 SPACE = "▁"
 #: Units whose ids a worker keeps, and characters indexed at once.
 CACHE, INDEX_CHARS = 150_000, 400_000
 #: Characters of a unit that is indexed alone, by a sliding index.
 LONG_UNIT = 2000
+#: Edges of a long unit that are Python objects at once.
+EDGES = 50_000
 #: Pairs of pieces whose fit a worker keeps: 2 to this power.
 FITS = 20
 _UNIT, _UNIT_WITH_LINES = re.compile(" *[^ \n]+| +|\n"), re.compile(" *[^ ]+| +")
@@ -61,12 +63,14 @@ class Vocabulary:
         self.fit_keys, self.fit_values = np.full(1 << FITS, -1, dtype=np.int64), np.zeros(1 << FITS, dtype=bool)
         self.kept: dict[str, bytes] = Recent(CACHE)
         order = sorted(self.pieces)
-        self.order = np.array([self.pieces[p] for p in order])
-        self.lengths = np.array([len(p) for p in order])
-        self.codes = np.zeros((len(order), self.longest), dtype=np.int64)
+        self.order = np.array([self.pieces[p] for p in order], dtype=np.int32)
+        self.lengths = np.array([len(p) for p in order], dtype=np.int32)
+        self.codes = np.zeros((len(order), self.longest), dtype=np.int32)
         for k, p in enumerate(order):
             self.codes[k, : len(p)] = [ord(c) for c in p]
         self.alphabet = np.unique(self.codes[self.codes > 0])
+        #: Each piece's characters as places in the alphabet; its length where a piece has no more.
+        self.letters = np.where(self.codes > 0, np.searchsorted(self.alphabet, self.codes), len(self.alphabet)).astype(np.int32)
 
     def merge(self, text: str) -> list[str]:
         """Pieces by merging the pair of best score, leftmost first: the rule itself, for tests."""
@@ -161,23 +165,32 @@ class Vocabulary:
         alphabet = np.intersect1d(codes, self.alphabet)
         bits = max(1, int(len(alphabet) + 1).bit_length())
         each = 64 // bits
-        at = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
-        dense = np.where(alphabet[at] == codes, at + 1, len(alphabet) + 1).astype(np.uint64) if len(alphabet) else np.ones(len(codes), dtype=np.uint64)
         depth = -(-self.longest // each) * each
-        dense = np.concatenate([dense, np.zeros(depth, dtype=np.uint64)])
+        dense = np.zeros(len(codes) + depth, dtype=np.uint64)
+        if len(alphabet):
+            at = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+            dense[: len(codes)] = np.where(alphabet[at] == codes, at + 1, len(alphabet) + 1)
+            del at
+        else:
+            dense[: len(codes)] = 1
         keys = []
         for start in range(0, depth, each):
             key = np.zeros(len(codes), dtype=np.uint64)
             for k in range(start, start + each):
-                key = key << np.uint64(bits) | dense[k : k + len(codes)]
+                key <<= np.uint64(bits)
+                key |= dense[k : k + len(codes)]
             keys.append(key)
+        del dense
         array = np.lexsort(keys[::-1])
-        keys = [k[array] for k in keys]
+        for k, key in enumerate(keys):
+            keys[k] = key[array]
+        array = array.astype(np.int32)
         # pieces with a character that the text lacks are nowhere in it
-        have = np.where(self.codes > 0, np.isin(self.codes, alphabet), True).all(axis=1)
+        known = np.append(np.isin(self.alphabet, alphabet), True)
+        have = known[self.letters].all(axis=1)
         rows = np.flatnonzero(have)
-        own = np.where(self.codes[rows] > 0, np.searchsorted(alphabet, self.codes[rows]) + 1, 0).astype(np.uint64)
-        own = np.hstack([own, np.zeros((len(rows), depth - self.longest), dtype=np.uint64)])
+        own = np.zeros((len(rows), depth), dtype=np.uint64)
+        own[:, : self.longest] = np.append(np.searchsorted(alphabet, self.alphabet) + 1, 0)[self.letters[rows]]
         filler = np.where(np.arange(depth)[None, :] < self.lengths[rows][:, None], own, np.uint64((1 << bits) - 1))
         found = []
         for want, upper in ((own, False), (filler, True)):
@@ -207,13 +220,18 @@ class Vocabulary:
         """Start, end and piece (-1: a character without one) of every occurrence."""
         array, low, high = self._index_text(codes)
         n = high - low
-        which = np.repeat(np.arange(len(n)), n)
-        starts = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        which = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        places = np.repeat((low - np.cumsum(n) + n).astype(np.int32), n)
+        places += np.arange(len(places), dtype=np.int32)
+        starts = array[places]
+        del array, places
         alone = np.ones(len(codes), dtype=bool)
         alone[starts[self.lengths[which] == 1]] = False
-        bare = np.flatnonzero(alone)
-        starts, ends = np.concatenate([starts, bare]), np.concatenate([starts + self.lengths[which], bare + 1])
-        return starts, ends, np.concatenate([self.order[which], np.full(len(bare), -1)])
+        bare = np.flatnonzero(alone).astype(np.int32)
+        ends = np.concatenate([starts + self.lengths[which], bare + 1])
+        pieces = np.concatenate([self.order[which], np.full(len(bare), -1, dtype=np.int32)])
+        del which
+        return np.concatenate([starts, bare]), ends, pieces
 
     def _index(self, units: list[str], out: dict[str, bytes]) -> None:
         """Encodes units together; puts their ids into out.
@@ -222,18 +240,25 @@ class Vocabulary:
         the edges with one end, the longest is tried first, then the next.
         """
         text = _END.join([*units, ""]).replace(" ", SPACE)
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<i4")
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units)) + 1
         first = np.cumsum(sizes) - sizes
-        base = np.repeat(first, sizes)
+        base = np.repeat(first.astype(np.int32), sizes)
         starts, ends, pieces = self._edges(codes)
-        reach = ends - base[starts]
-        by = np.argsort(reach << 40 | ends << 8 | self.longest + starts - ends)
-        starts, ends, pieces, reach = starts[by], ends[by], pieces[by], reach[by]
+        by = (ends - base[starts]).astype(np.int64)
+        by <<= 40
+        by |= ends.astype(np.int64) << 8
+        by |= self.longest + starts - ends
+        by = np.argsort(by).astype(np.int32)
+        starts = starts[by]
+        ends = ends[by]
+        pieces = pieces[by]
+        del by
         opens = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))  # the longest edge of each end
         number = np.diff(np.append(opens, len(ends)))
-        last, origin = np.full(len(codes) + 1, -1, dtype=np.int64), np.zeros(len(codes) + 1, dtype=np.int64)
-        cuts = np.searchsorted(reach[opens], np.arange(1, int(reach[-1]) + 2))
+        last, origin = np.full(len(codes) + 1, -1, dtype=np.int32), np.zeros(len(codes) + 1, dtype=np.int32)
+        reach = ends[opens] - base[starts[opens]]
+        cuts = np.searchsorted(reach, np.arange(1, int(reach[-1]) + 2))
         for lo, hi in zip(cuts, cuts[1:]):
             at, left = opens[lo:hi], number[lo:hi]
             while len(at):
@@ -274,20 +299,21 @@ class Vocabulary:
         last, size = np.full(n + 1, -1, dtype=np.int32), np.zeros(n + 1, dtype=np.int16)
         for at in range(0, n, step):
             low = max(0, at - back)
-            codes = np.frombuffer(unit[low : at + step].encode("utf-32-le"), dtype="<u4").astype(np.int64)
-            starts, ends, pieces = self._edges(codes)
+            codes = np.frombuffer(unit[low : at + step].encode("utf-32-le"), dtype="<i4")
+            starts, ends, pieces = (x.astype(np.int64) for x in self._edges(codes))
             new = ends + low > at
             starts, ends, pieces = starts[new] + low, ends[new] + low, pieces[new]
             by = np.argsort(ends << 8 | self.longest + starts - ends)
             recent, done = dict(zip(range(low, at + 1), last[low : at + 1].tolist())), at
-            for start, end, piece in zip(starts[by].tolist(), ends[by].tolist(), pieces[by].tolist()):
-                if end <= done:
-                    continue
-                before = recent[start]
-                if before >= 0 and piece >= 0 and not self._fit_one(before, piece):
-                    continue
-                recent[end] = last[end] = piece
-                size[end], done = end - start, end
+            for part in np.split(by, range(EDGES, len(by), EDGES)):
+                for start, end, piece in zip(starts[part].tolist(), ends[part].tolist(), pieces[part].tolist()):
+                    if end <= done:
+                        continue
+                    before = recent[start]
+                    if before >= 0 and piece >= 0 and not self._fit_one(before, piece):
+                        continue
+                    recent[end] = last[end] = piece
+                    size[end], done = end - start, end
         where, end = [], n
         while end > 0:
             where.append(end)
@@ -324,38 +350,53 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of the texts. Their units are split twice: first new ones are looked for and indexed together, then each text's ids are
+        joined, so that the units of one text are in memory at once beside the new ones.
+        """
         kept = self.kept
-        parts = [self.units(t) for t in texts]
-        got = [list(map(kept.get, p)) for p in parts]
-        open_ = [[k for k, x in enumerate(g) if x is None] if None in g else [] for g in got]
         have: dict[str, bytes] = {}
+        for t in texts:
+            self._open(self.units(t), have)
+        self._encode_open(have)
+        out = []
+        for t in texts:
+            parts = self.units(t)
+            got = list(map(have.get, parts))
+            if None in got:
+                got = [kept[u] if x is None else x for u, x in zip(parts, got)]
+            if None in got:  # the cache has dropped some meanwhile
+                again: dict[str, bytes] = {}
+                self._open([u for u, x in zip(parts, got) if x is None], again)
+                self._encode_open(again)
+                got = [again[u] if x is None else x for u, x in zip(parts, got)]
+            out.append(np.frombuffer(b"".join(got), dtype=np.int32))
+        for u, ids in have.items():
+            if len(u) <= 64:
+                kept.put(u, ids)
+        return out
+
+    def _open(self, units: list[str], have: dict[str, bytes | None]) -> None:
+        """Adds the units that aren't kept to have, without ids."""
+        kept = self.kept
+        if None in (got := list(map(kept.get, units))):
+            for u, x in zip(units, got):
+                if x is None and u not in have and kept[u] is None:
+                    have[u] = None
+
+    def _encode_open(self, have: dict[str, bytes | None]) -> None:
+        """The ids of units without, INDEX_CHARS at once."""
         new, size = [], 0
-        for u in {p[k] for p, missing in zip(parts, open_) for k in missing}:
-            known = kept[u]
-            if known is not None:
-                have[u] = known
-                continue
+        for u in list(have):
             if len(u) > LONG_UNIT:
                 have[u] = self._long(u.replace(" ", SPACE))
                 continue
             new.append(u)
             size += len(u) + 1
             if size >= INDEX_CHARS:
-                self._learn(new, have)
+                self._index(new, have)
                 new, size = [], 0
         if new:
-            self._learn(new, have)
-        for p, g, missing in zip(parts, got, open_):
-            for k in missing:
-                g[k] = have[p[k]]
-        return [np.frombuffer(b"".join(g), dtype=np.int32) for g in got]
-
-    def _learn(self, units: list[str], have: dict[str, bytes]) -> None:
-        self._index(units, have)
-        put = self.kept.put
-        for u in units:
-            if len(u) <= 64:
-                put(u, have[u])
+            self._index(new, have)
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -382,7 +423,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         own.kept.older = {}
 
     df = docs.select(id_in(id_col).alias("id"), text_in(text_col).alias("text"))
-    return id_out(df.mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, same boolean"), "doc_id")
+    return id_out(df.mapInPandas(sparing(run), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, same boolean"), "doc_id")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -772,3 +773,46 @@ def test_written_leaves_no_shuffle_files(spark):
     assert not files() - before and spark.conf.get(key, None) == setting
     df.collect()
     assert files() - before  # others keep theirs
+
+
+def rare_words(n, words):
+    rng = random.Random(5)
+    return [" ".join("".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(3, 11))) for _ in range(words)) for _ in range(n)]
+
+
+def test_encoding_of_new_units_takes_little_memory():
+    own, texts = sentencepieces.Vocabulary(PIECES), rare_words(200, 300)
+    own.encode(texts[:2])
+    tracemalloc.start()
+    try:
+        own.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 55e6
+
+
+@pytest.mark.parametrize("size", [1, 7, 500])
+def test_encoding_with_a_cache_that_drops_units_of_the_batch(size):
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepieces.Vocabulary(PIECES)
+    own.kept = common.Recent(size)
+    texts = [t for t in ODD if t] + rare_words(30, 20) + ["漢▁ x" * 50, "z" * 3000 + " b"]
+    for _ in range(3):
+        random.Random(6).shuffle(texts)
+        assert [x.tolist() for x in own.encode(texts)] == lib.encode(texts)
+
+
+def test_held_gives_freed_memory_back():
+    def mb():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+    common.held("a test's arrays", lambda: [bytes(60_000) + bytes([k % 256]) for k in range(2000)])
+    last = bytes(60_000) + b"x"  # above what is freed: the heap can't shrink by itself
+    most = mb()
+    common.held("another's", dict)
+    common._held.clear()
+    assert mb() < most - 80 and last
