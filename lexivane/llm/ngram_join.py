@@ -14,8 +14,8 @@ common passage, is in few of them.
 Rows are told apart by a number of their own. Rows with equal sets are one class; links are sought between class
 representatives. A list of representatives with equal fingerprint is not expanded into pairs of rows. Its members are dealt to
 blocks of BLOCK, and every two blocks are compared in one task by the sizes of their fragments: the sum of the sizes' differences is
-a lower bound of the sets' difference. The pairs that the bound leaves are covered by stars: a pivot and its members, such that
-every pair is a pivot and a member, or two members of one pivot. Overlaps are counted for pivot and member, which also gives the member's
+a lower bound of the sets' difference. The pairs that the bound leaves are covered by stars: a list's pivot and those of its members that
+have such a pair, so that every pair is a pivot and a member, or two members of one pivot. Overlaps are counted for pivot and member, which also gives the member's
 difference from the pivot. The overlap of two members' differences gives the pair's overlap exactly; a pivot's members
 are dealt to blocks again, and every two blocks are compared as a matrix in one task. A pair of several stars
 counts under its smallest pivot, so every link is found once. Tasks return sums of links and a forest that keeps the components;
@@ -55,6 +55,8 @@ GROWTH = 1.5
 COUNTED = 8
 #: Members of a pivot that are compared with as many others in one task, and n-grams at once.
 BLOCK, WIDTH = 256, 4096
+#: Lists of smaller pivots, at most, by which a member tells that a pair was compared with one of these.
+EARLIER = 256
 #: Sizes of fragments that are compared at once.
 PAIRS = 4_000_000
 MAX_ROUNDS = 60
@@ -190,14 +192,20 @@ def _near(n: np.ndarray, sizes: np.ndarray, m: np.ndarray, others: np.ndarray, n
 def _alike(g: Mapping[str, np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """x, pivot of stars that cover the pairs between two blocks (or in one) whose fragments' sizes let them link.
 
-    g: in order of x; keys are the lists that a member is in: only members of one list are compared. star is the pivot that a member (or it
-    itself) is known with: two of one star, and it and its members, are covered.
+    g: in order of x; keys are the lists that a member is in: only members of one list are compared, and of these not two that have one
+    of earlier in common (if there is such a column). star is the pivot that a member (or it itself) is known with: two of one star, and it
+    and its members, are covered.
     """
     x, n, star, block, raw = (np.asarray(g[c]) for c in ("x", "n", "star", "block", "sizes"))
     one, two = np.flatnonzero(block == int(g["i"][0])), np.flatnonzero(block == int(g["j"][0]))
-    number, keys = _flat(list(g["keys"]))
+    rows = np.arange(len(x))
+
+    def shared(lists: str) -> np.ndarray:
+        number, keys = _flat(list(g[lists]))
+        return _overlap(np.repeat(rows, number), keys, one, two, len(x)) > 0
+
     open_ = np.zeros((len(x), len(x)), dtype=bool)
-    open_[np.ix_(one, two)] = _overlap(np.repeat(np.arange(len(x)), number), keys, one, two, len(x)) > 0
+    open_[np.ix_(one, two)] = shared("keys") & ~shared("earlier") if "earlier" in g else shared("keys")
     open_ |= open_.T
     open_ &= (star[:, None] != star) & (x[:, None] != star) & (star[:, None] != x)
     open_ &= (den + num) * np.abs(n[:, None] - n) <= (den - num) * (n[:, None] + n)
@@ -225,6 +233,13 @@ def _alike(g: Mapping[str, np.ndarray], num: int, den: int) -> list[tuple[int, i
     return out
 
 
+def _left(g: Mapping[str, np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """x, p of the members of a pivot p that have a pair left between two blocks (or in one): all ends of the stars."""
+    p = int(g["p"][0])
+    ends = {x for star in (_alike(g, num, den) if len(g["x"]) > 1 else []) for x in star}
+    return [(x, p) for x in sorted(ends) if x != p]
+
+
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str], told: Callable[[dict[str, np.ndarray]], list], columns: list[str]) -> Iterator[pd.DataFrame]:
     """told() of every group of rows with equal keys, as arrays by column; rows come in order of the keys."""
     rest = None
@@ -253,7 +268,8 @@ def _covered(stars: DataFrame, lists: DataFrame, sizes: DataFrame, num: int, den
 
     First every member is compared with its lists' pivots, and kept with the smallest that it may link with, and with all that a list
     of two pairs it with: no other list may have both. Then blocks of members of one pivot's lists, as far as these aren't of one
-    such star, are compared with each other.
+    such star, are compared with each other; those with a pair left become members of the lists' pivot, so that no member has more than
+    a row a pivot, however many pairs a group has left.
     """
 
     @F.pandas_udf("boolean")
@@ -274,14 +290,19 @@ def _covered(stars: DataFrame, lists: DataFrame, sizes: DataFrame, num: int, den
     open_ = own.groupBy("key").agg(F.min("star").alias("a"), F.max("star").alias("b")).where("a < b").select("key")
     open_ = written(open_, "open")
     own = own.join(bounded(open_, open_.count()), "key")
+    # of each member, its first lists in order of their pivots: two that share such a list are compared with its pivot's members only
+    first_lists = F.slice(F.sort_array(F.collect_list(F.struct("p", "key"))), 1, EARLIER)
+    firsts = written(own.groupBy("x").agg(first_lists.alias("firsts")), "firsts")
     # a member has a row a pivot, with short hashes of its lists: a collision only adds a comparison
-    own = written(own.groupBy("p", "x", "star").agg(F.collect_set(F.hash("key")).alias("keys")), "members")
+    own = own.groupBy("p", "x", "star").agg(F.collect_set(F.hash("key")).alias("keys")).join(firsts, "x")
+    before = F.filter("firsts", lambda r: r["p"] < F.col("p"))
+    own = written(own.withColumn("earlier", F.transform(before, lambda r: r["key"])).drop("firsts"), "members")
     blocks = written(own.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     own = own.join(bounded(blocks, blocks.count()), "p").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     own = own.join(sizes.withColumnRenamed("row", "x"), "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _groups(batches, ["p", "i", "j"], lambda g: _alike(g, num, den) if len(g["x"]) > 1 else [], ["x", "p"])
+        return _groups(batches, ["p", "i", "j"], lambda g: _left(g, num, den), ["x", "p"])
 
     more = _blocked(own, "p", "x").mapInPandas(run, "x long, p long")
     return first.select("x", F.col("star").alias("p")).union(twos).union(more).distinct()

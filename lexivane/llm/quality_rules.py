@@ -76,9 +76,18 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.withColumn("base_failed", failed)
 
 
+def host_counts(base: DataFrame) -> DataFrame:
+    """host, n, failed: one row a host."""
+    return base.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+
+
 def host_rates(base: DataFrame) -> DataFrame:
     """host, n, failed, rate (shrunk), low (lower credible limit), rejected: one row a host."""
-    hosts = base.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    return rates(host_counts(base))
+
+
+def rates(hosts: DataFrame) -> DataFrame:
+    """host_rates() of host_counts()."""
     one = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("sq"))
     # three sums of the whole corpus: one row, whatever the input's size
     n, failed, sq = (float(x or 0) for x in one.first())
@@ -112,14 +121,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def clean(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    Rows and their base verdict are written once (failed rows without their columns), so that the
-    host verdict needs neither a second pass over the texts nor a shuffle of them.
+    The rules are evaluated twice, for the hosts' rates and for the rows: no copy of the texts is written, only a row a host.
     """
-    base = base_rules(docs).select("host", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row"))
-    base = written(base, "rules")
-    hosts = written(host_rates(base).where("rejected").select("host", F.lit(True).alias("rejected")), "hosts")
-    kept = join_small(base.where("NOT base_failed"), hosts, ["host"], hosts.count(), broadcast_rows).where("rejected IS NULL")
-    return kept.select("row.*")
+    base = base_rules(docs)
+    counts = written(host_counts(base), "counts")
+    hosts = written(rates(counts).where("rejected").select("host", F.lit(True).alias("rejected")), "hosts")
+    kept = base.where("NOT base_failed").select("host", "row")
+    return join_small(kept, hosts, ["host"], hosts.count(), broadcast_rows).where("rejected IS NULL").select("row.*")
 
 
 ORACLE = """

@@ -816,3 +816,26 @@ def test_held_gives_freed_memory_back():
     common.held("another's", dict)
     common._held.clear()
     assert mb() < most - 80 and last
+
+
+def test_near_copies_get_no_more_than_a_row_a_pivot():
+    """Members of one group whose pairs are left, as far apart as links allow: a row each, and none for what earlier lists compare."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64) * np.uint64(2)
+    own = [np.unique(np.append(rng.permutation(base)[: 150 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64))) for k in rng.integers(5, 40, 200).tolist()]
+    g = {"x": np.arange(200), "p": np.zeros(200, dtype=np.int64), "n": np.array([len(s) for s in own]), "star": np.arange(200), "block": np.arange(200) % 2}
+    g |= {"i": np.zeros(200, dtype=np.int64), "j": np.ones(200, dtype=np.int64), "sizes": np.array([ngram_join.profile(s) for s in own], dtype=object), "keys": [[1]] * 200}
+    stars = ngram_join._alike(g, 4, 5)
+    left = ngram_join._left(g, 4, 5)
+    assert len(stars) > 1000 and {x for s in stars for x in s} - {0} == {x for x, _ in left} and len(left) == len(set(left)) < 200
+    assert {p for _, p in left} == {0}
+    assert ngram_join._left(g | {"earlier": [[k // 100] for k in range(200)]}, 4, 5)
+    assert not ngram_join._left(g | {"earlier": [[7, k + 10] for k in range(200)]}, 4, 5)
+
+
+def test_rules_write_no_copy_of_the_texts(spark, monkeypatch):
+    columns, put = set(), quality_rules.written
+    monkeypatch.setattr(quality_rules, "written", lambda df, name: columns.update(df.columns) or put(df, name))
+    texts = [" ".join(f"w{i}" for i in range(60)), "too short"]
+    assert [r["doc_id"] for r in quality_rules.clean(table(spark, texts)).collect()] == [0, 0]
+    assert columns == {"host", "n", "failed", "rejected"}
