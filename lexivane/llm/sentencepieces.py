@@ -9,7 +9,7 @@ border merging leaves alone. Characters without a piece become their bytes' piec
 first, as in the library.
 
 Defined cases: a null or empty text has no ids; very long texts are indexed in parts of whole
-units, and a unit beyond LONG_UNIT by an index that slides along it; units are kept between batches in a bounded cache; repeated
+units, and a unit beyond LONG_UNIT by an index that slides along it; units are kept between batches, fewer between tasks, in a bounded table; repeated
 rows each come back; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
@@ -24,11 +24,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, held, id_in, id_out, sparing, text_in
+from .common import held, id_in, id_out, sparing, text_in
+from .unit_ids import MARK, UnitIds, key_of, keys_of_words
 
 SPACE = "▁"
-#: Units whose ids a worker keeps, and characters indexed at once.
-CACHE, INDEX_CHARS = 150_000, 400_000
+#: Units whose ids a worker keeps, in a task and from one task to the next, and characters indexed at once.
+CACHE, STAYING, INDEX_CHARS = 300_000, 60_000, 400_000
 #: Characters of a unit that is indexed alone, by a sliding index.
 LONG_UNIT = 2000
 #: Edges of a long unit that are Python objects at once.
@@ -61,7 +62,7 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         self.histories: dict[int, tuple[list[tuple[float, str, str]] | None, str, str]] = {}
         self.fit_keys, self.fit_values = np.full(1 << FITS, -1, dtype=np.int64), np.zeros(1 << FITS, dtype=bool)
-        self.kept: dict[str, bytes] = Recent(CACHE)
+        self.known = UnitIds("int32", CACHE)
         order = sorted(self.pieces)
         self.order = np.array([self.pieces[p] for p in order], dtype=np.int32)
         self.lengths = np.array([len(p) for p in order], dtype=np.int32)
@@ -233,8 +234,8 @@ class Vocabulary:
         del which
         return np.concatenate([starts, bare]), ends, pieces
 
-    def _index(self, units: list[str], out: dict[str, bytes]) -> None:
-        """Encodes units together; puts their ids into out.
+    def _index(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one after the other, and how many each has.
 
         Edges are relaxed by the distance of their end from their unit's start, for all units at once; of
         the edges with one end, the longest is tried first, then the next.
@@ -280,20 +281,22 @@ class Vocabulary:
         where = np.flatnonzero(used)
         ids = last[where]
         ends = np.searchsorted(where, first + sizes - 1, side="right")
-        raw = ids.astype(np.int32).tobytes()
-        odd = np.add.reduceat(ids < 0, np.concatenate([[0], ends[:-1]])) > 0
-        for u, a, b, bare in zip(units, [0, *ends[:-1].tolist()], ends.tolist(), odd.tolist()):
-            if bare:
-                out[u] = self._with_bytes(text, where[a:b].tolist(), ids[a:b].tolist())
-            else:
-                out[u] = raw[4 * a : 4 * b]
-
-    def _with_bytes(self, text: str, ends: list[int], ids: list[int]) -> bytes:
+        bare = ids < 0
+        if bare.any():
+            parts = [[self.byte[b] for b in text[end - 1].encode()] for end in where[bare].tolist()]
+            number = np.ones(len(ids), dtype=np.int64)
+            number[bare] = list(map(len, parts))
+            ids, bare = np.repeat(ids, number), np.repeat(bare, number)
+            ids[bare] = [i for part in parts for i in part]
+            ends = np.cumsum(number)[ends - 1]
+        return ids, np.diff(ends, prepend=0)
+
+    def _with_bytes(self, text: str, ends: list[int], ids: list[int]) -> np.ndarray:
         """Ids of a path on which characters without a piece become their bytes' pieces."""
         got = [[i] if i >= 0 else [self.byte[b] for b in text[end - 1].encode()] for end, i in zip(ends, ids)]
-        return np.array([i for part in got for i in part], dtype=np.int32).tobytes()
+        return np.array([i for part in got for i in part], dtype=np.int32)
 
-    def _long(self, unit: str) -> bytes:
+    def _long(self, unit: str) -> np.ndarray:
         """A unit beyond LONG_UNIT: the index slides along it, and edges are relaxed one after the other."""
         n, step, back = len(unit), INDEX_CHARS, self.longest
         last, size = np.full(n + 1, -1, dtype=np.int32), np.zeros(n + 1, dtype=np.int16)
@@ -330,73 +333,43 @@ class Vocabulary:
 
     # -- encoding and decoding --------------------------------------------------------------
 
-    def units(self, text: str) -> list[str]:
-        """The text's units, with blanks for SPACE; together they are the text after the dummy prefix."""
+    def keys(self, text: str) -> list[str]:
+        """The keys of the text's units, with blanks for SPACE; together they are the text after the dummy prefix."""
         if not text:
             return []
-        whole = " " + text.replace(SPACE, " ")
+        text = text.replace(SPACE, " ")
         if not self.cut:
-            return [whole]
-        if "  " in whole or whole[-1] == " " or " \n" in whole or not self.cut_lines:
-            return (_UNIT if self.cut_lines else _UNIT_WITH_LINES).findall(whole)
-        out: list[str] = []
-        for line in whole.split("\n"):
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            out += [f" {p}" for p in rest]
-            out.append("\n")
-        out.pop()
-        return out
+            return [key_of(f" {text}")]
+        if not self.cut_lines or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or MARK in text:
+            return [key_of(u) for u in (_UNIT if self.cut_lines else _UNIT_WITH_LINES).findall(f" {text}")]
+        return keys_of_words(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of the texts. Their units are split twice: first new ones are looked for and indexed together, then each text's ids are
-        joined, so that the units of one text are in memory at once beside the new ones.
-        """
-        kept = self.kept
-        have: dict[str, bytes] = {}
-        for t in texts:
-            self._open(self.units(t), have)
-        self._encode_open(have)
-        out = []
-        for t in texts:
-            parts = self.units(t)
-            got = list(map(have.get, parts))
-            if None in got:
-                got = [kept[u] if x is None else x for u, x in zip(parts, got)]
-            if None in got:  # the cache has dropped some meanwhile
-                again: dict[str, bytes] = {}
-                self._open([u for u, x in zip(parts, got) if x is None], again)
-                self._encode_open(again)
-                got = [again[u] if x is None else x for u, x in zip(parts, got)]
-            out.append(np.frombuffer(b"".join(got), dtype=np.int32))
-        for u, ids in have.items():
-            if len(u) <= 64:
-                kept.put(u, ids)
-        return out
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end."""
+        return self.known.encode(map(self.keys, texts), self._encode_units)
 
-    def _open(self, units: list[str], have: dict[str, bytes | None]) -> None:
-        """Adds the units that aren't kept to have, without ids."""
-        kept = self.kept
-        if None in (got := list(map(kept.get, units))):
-            for u, x in zip(units, got):
-                if x is None and u not in have and kept[u] is None:
-                    have[u] = None
-
-    def _encode_open(self, have: dict[str, bytes | None]) -> None:
-        """The ids of units without, INDEX_CHARS at once."""
-        new, size = [], 0
-        for u in list(have):
-            if len(u) > LONG_UNIT:
-                have[u] = self._long(u.replace(" ", SPACE))
-                continue
-            new.append(u)
-            size += len(u) + 1
-            if size >= INDEX_CHARS:
-                self._index(new, have)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of the texts."""
+        ids, ends = self.encode_all(texts)
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one after the other, and how many each has; INDEX_CHARS are indexed at once."""
+        got, new, size = [], [], 0
+        for u in units:
+            if long := len(u) > LONG_UNIT:
+                ids = self._long(u.replace(" ", SPACE))
+            else:
+                new.append(u)
+                size += len(u) + 1
+            if new and (long or size >= INDEX_CHARS):
+                got.append(self._index(new))
                 new, size = [], 0
+            if long:
+                got.append((ids, np.array([len(ids)])))
         if new:
-            self._index(new, have)
+            got.append(self._index(new))
+        return np.concatenate([x for x, _ in got]), np.concatenate([n for _, n in got])
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -419,8 +392,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for i, text, ids in zip(b["id"].tolist(), b["text"].tolist(), own.encode(b["text"].tolist())):
                 rows.append((i, ids, len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == text.replace(SPACE, " ")))
             yield pd.DataFrame(rows, columns=["doc_id", "ids", "n_tokens", "ids_crc32", "same"])
-        own.kept.clear()  # the next task may be another operator's
-        own.kept.older = {}
+        own.known.shrink(STAYING)  # the next task may be another operator's
 
     df = docs.select(id_in(id_col).alias("id"), text_in(text_col).alias("text"))
     return id_out(df.mapInPandas(sparing(run), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, same boolean"), "doc_id")

@@ -21,6 +21,7 @@ from lexivane.llm import (
     sentencepieces,
     token_counts,
     token_store,
+    unit_ids,
     url_filters,
     warc,
 )
@@ -804,6 +805,34 @@ def test_encoding_with_a_cache_that_drops_units_of_the_batch(size):
         assert [x.tolist() for x in own.encode(texts)] == lib.encode(texts)
 
 
+@pytest.mark.parametrize("most", [1, 40, 5000])
+def test_units_keep_their_ids_in_a_table_that_drops_units(most):
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepieces.Vocabulary(PIECES)
+    own.known = unit_ids.UnitIds("int32", most)
+    rng, parts = random.Random(7), [" ", "  ", "\n", "\n\n", "the", "ing", "é", "漢", "▁", "\0", "\0a", " \0", " \n", "\r", "x" * 70, "𝒳", "\U0010fffd"]
+    texts = [t for t in ODD if t] + rare_words(30, 20) + ["".join(rng.choice(parts) for _ in range(12)) for _ in range(300)]
+    for _ in range(3):
+        rng.shuffle(texts)
+        for at in range(0, len(texts), 60):
+            assert [x.tolist() for x in own.encode(texts[at : at + 60])] == lib.encode(texts[at : at + 60])
+        own.known.shrink(most // 3)
+        assert len(own.known.numbers) <= most // 3 + 1 and max(map(len, own.known.numbers)) <= 65
+    assert own.encode([]) == [] and own.encode(["", ""])[1].tolist() == []
+
+
+def test_units_that_come_again_are_encoded_once_also_in_the_next_task():
+    own, calls = sentencepieces.Vocabulary(PIECES), []
+    own._encode_units = lambda units, put=own._encode_units: calls.append(units) or put(units)
+    for texts in (["again and again\nand again", "once again"], ["once again\nand again"]):
+        own.encode(texts)
+    assert [len(u) for u in calls] == [5]
+    own.known.shrink(sentencepieces.STAYING)
+    own.encode(["again once\nand"])
+    assert len(calls) == 1
+
+
 def test_held_gives_freed_memory_back():
     def mb():
         return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
