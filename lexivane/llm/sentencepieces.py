@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import held, id_in, id_out, sparing, text_in
-from .unit_ids import MARK, UnitIds, key_of, keys_of_words
+from .unit_ids import UnitIds
 
 SPACE = "▁"
 #: Units whose ids a worker keeps, in a task and from one task to the next, and characters indexed at once.
@@ -333,20 +333,20 @@ class Vocabulary:
 
     # -- encoding and decoding --------------------------------------------------------------
 
-    def keys(self, text: str) -> list[str]:
-        """The keys of the text's units, with blanks for SPACE; together they are the text after the dummy prefix."""
+    def units(self, text: str) -> bytes | list[str]:
+        """The text's units, with blanks for SPACE, or as bytes the text to be split at blanks and line ends; together they are the text after the dummy prefix."""
         if not text:
             return []
-        text = text.replace(SPACE, " ")
+        whole = " " + text.replace(SPACE, " ")
         if not self.cut:
-            return [key_of(f" {text}")]
-        if not self.cut_lines or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or MARK in text:
-            return [key_of(u) for u in (_UNIT if self.cut_lines else _UNIT_WITH_LINES).findall(f" {text}")]
-        return keys_of_words(text)
+            return [whole]
+        if not self.cut_lines or "  " in whole or whole[-1] == " " or " \n" in whole or "\0" in whole:
+            return (_UNIT if self.cut_lines else _UNIT_WITH_LINES).findall(whole)
+        return whole.encode()
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's end."""
-        return self.known.encode(map(self.keys, texts), self._encode_units)
+        return self.known.encode(texts, self.units, self._encode_units)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of the texts."""

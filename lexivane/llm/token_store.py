@@ -38,6 +38,7 @@ from .common import fresh_dir, held, id_in, id_out, join_uneven, text_in, writte
 from .files import make_dir, opened, read_bytes, remove, write_bytes
 from .bpe import byte_symbols
 from .token_counts import _WIDE, units
+from .unit_ids import UnitIds, spans
 
 END_ID = 2
 #: Ids of the rolling window, and the mean chunk length beyond the window.
@@ -56,7 +57,7 @@ _WITHIN = re.compile(rb" ?[\x80-\xbf]?(?:[!-&(-~]|[\xc3-\xc9][\x80-\xbf])*[\xc3-
 _ONE_KIND = re.compile(rb" ?(?:[A-Za-z\x80-\xbf\xc3-\xc9]*|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
 #: What keeps a text from being cut at its line ends: other white space, and line ends beside blanks or line ends.
-_LOOSE = ("\n\n", " \n", "\n ", "\t", "\r", "\f", "\v", "\x1c", "\x1d", "\x1e", "\x1f")
+_LOOSE = ("\0", "\n\n", " \n", "\n ", "\t", "\r", "\f", "\v", "\x1c", "\x1d", "\x1e", "\x1f")
 
 _GEAR = np.random.default_rng(4).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -71,7 +72,7 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.kept: dict[str, bytes] = {}
+        self.known = UnitIds(self.kind, CACHE)
         # a special string of the vocabulary: nothing reaches across it, so it can stand between units
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
         self.between = next(iter(added), "")
@@ -103,53 +104,56 @@ class CachedEncoder:
         simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return simple, apart[0]
 
-    def _encode_units(self, units: list[str], library, between: str) -> list[bytes]:
-        """Many units as one text with a mark between them; the ids are cut at the mark."""
+    def _encode_joined(self, units: list[str], library, between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Many units as one text with a mark between them: the ids without the marks, and how many each unit has."""
         if not between:
-            return [np.array(e.ids, dtype=self.kind).tobytes() for e in library.encode_batch_fast(units, add_special_tokens=False)]
+            each = [e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], dtype=self.kind), np.array(list(map(len, each)), dtype=np.int64)
         ids = np.array(library.encode_batch_fast([between.join(units)], add_special_tokens=False)[0].ids, dtype=self.kind)
-        mark = library.encode(between, add_special_tokens=False).ids[0]
-        data, width, ends = ids.tobytes(), self.kind.itemsize, [*np.flatnonzero(ids == mark).tolist(), len(ids)]
-        return [data[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+        marks = ids == library.encode(between, add_special_tokens=False).ids[0]
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one after the other, and how many each has."""
+        kinds = np.ones(len(units), dtype=np.int8)
+        if self.simple:
+            kinds[[u is not None for u in map(_PLAIN.fullmatch, units)]] = 0
+        whole = "".join(units)
+        for special in self.special:
+            if special in whole:
+                kinds[[special in u for u in units]] = 2
+        del whole
+        order = np.argsort(kinds, kind="stable")
+        plain, other, rest = (order[kinds[order] == k].tolist() for k in range(3))
+        flat, sizes = [np.zeros(0, dtype=self.kind)], [np.zeros(0, dtype=np.int64)]
+        for library, between, own in ((self.simple, self.gap, plain), (self.library, self.between, other)):
+            for at in range(0, len(own), 512):
+                ids, n = self._encode_joined([units[k] for k in own[at : at + 512]], library, between)
+                flat.append(ids)
+                sizes.append(n)
+        for k in rest:
+            flat.append(np.array(self.library.encode(units[k], add_special_tokens=False).ids, dtype=self.kind))
+            sizes.append(np.array([len(flat[-1])]))
+        sizes = np.concatenate(sizes)
+        if len(sizes) != len(units):
+            raise ValueError("a unit holds the mark that stands between units")
+        flat, back = np.concatenate(flat), np.argsort(order)
+        return spans(flat, (np.cumsum(sizes) - sizes)[back], sizes[back]), sizes[back]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end."""
+        return self.known.encode(texts, lines_and_units, self._encode_units)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        kept, parts = self.kept, [lines_and_units(t) for t in texts]
-        got = [list(map(kept.get, p)) for p in parts]
-        open_ = [[k for k, x in enumerate(g) if x is None] if None in g else [] for g in got]
-        new = {p[k] for p, missing in zip(parts, open_) for k in missing}
-        marked = any(s in t for s in self.special for t in texts)
-        odd = {u for u in new if any(s in u for s in self.special)} if marked else set()
-        easy = list(filter(_PLAIN.fullmatch, new - odd)) if self.simple else []
-        for library, between, own in ((self.simple, self.gap, easy), (self.library, self.between, list(new.difference(odd, easy)))):
-            for at in range(0, len(own), 512):
-                part = own[at : at + 512]
-                kept.update(zip(part, self._encode_units(part, library, between), strict=True))
-        for u in odd:
-            kept[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        for p, g, missing in zip(parts, got, open_):
-            for k in missing:
-                g[k] = kept[p[k]]
-        out = [np.frombuffer(b"".join(g), dtype=self.kind) for g in got]
-        for u in new:
-            if len(u) > 64:  # long ones seldom come again
-                del kept[u]
-        return out
-
-
-def lines_and_units(text: str) -> list[str]:
-    """The text's units, with single line ends as units of their own where only words and single blanks stand around them."""
+        ids, ends = self.encode_all(texts)
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def lines_and_units(text: str) -> bytes | list[str]:
+    """The text's units, or the text as bytes to be split at blanks and single line ends, where only words stand around them."""
     if not text or "  " in text or any(c in text for c in _LOOSE) or text[0] in " \n" or text[-1] in " \n" or not text.isascii() and _WIDE.search(text):
         return units(text)
-    out: list[str] = []
-    for line in text.split("\n"):
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [f" {p}" for p in rest]
-        out.append("\n")
-    out.pop()
-    return out
+    return text.encode()
 
 
 def encoder(path: str) -> CachedEncoder:
@@ -212,22 +216,20 @@ def _encode(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         own, pack, seen = encoder(tokenizer), _Pack(folder), set()
         for b in batches:
             rows = []
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                for doc_id, ids in zip(part["doc_id"].tolist(), own.encode(part["text"].tolist())):
-                    ids = np.append(ids, own.kind.type(END_ID))
-                    start, digests, new = 0, [], []
-                    for end in borders(ids):
-                        data = ids[start:end].tobytes()
-                        key = digest(data)
-                        digests.append(key)
-                        if key not in seen:
-                            if len(seen) >= SEEN:
-                                seen.clear()
-                            seen.add(key)
-                            new.append((key, *pack.add(data), len(data)))
-                        start = end
-                    rows.append((doc_id, len(ids), digests, new))
+            for doc_id, ids in zip(b["doc_id"].tolist(), own.encode(b["text"].tolist())):
+                ids = np.append(ids, own.kind.type(END_ID))
+                start, digests, new = 0, [], []
+                for end in borders(ids):
+                    data = ids[start:end].tobytes()
+                    key = digest(data)
+                    digests.append(key)
+                    if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        new.append((key, *pack.add(data), len(data)))
+                    start = end
+                rows.append((doc_id, len(ids), digests, new))
             yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "digests", "new"])
         pack.close()
 

@@ -818,7 +818,7 @@ def test_units_keep_their_ids_in_a_table_that_drops_units(most):
         for at in range(0, len(texts), 60):
             assert [x.tolist() for x in own.encode(texts[at : at + 60])] == lib.encode(texts[at : at + 60])
         own.known.shrink(most // 3)
-        assert len(own.known.numbers) <= most // 3 + 1 and max(map(len, own.known.numbers)) <= 65
+        assert len(own.known) == len(own.known.sizes) <= most // 3 and max(map(len, own.known.numbers), default=0) <= 64
     assert own.encode([]) == [] and own.encode(["", ""])[1].tolist() == []
 
 
@@ -827,12 +827,54 @@ def test_units_that_come_again_are_encoded_once_also_in_the_next_task():
     own._encode_units = lambda units, put=own._encode_units: calls.append(units) or put(units)
     for texts in (["again and again\nand again", "once again"], ["once again\nand again"]):
         own.encode(texts)
-    assert [len(u) for u in calls] == [5]
+    assert list(map(sorted, calls)) == [["\n", " again", " and", " once", "and"]]
     own.known.shrink(sentencepieces.STAYING)
     own.encode(["again once\nand"])
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("most", [1, 40, 5000])
+def test_token_store_encoder_with_a_table_that_drops_units(most):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(BPE), token_store.CachedEncoder(BPE)
+    own.known = unit_ids.UnitIds(own.kind, most)
+    rng, parts = random.Random(9), [" ", "\n", " the", " ing", "é", "漢", "\0", " \0", "<|endoftext|>", " <|endo", "'ll", "\t", "\xa0", "x" * 70]
+    texts = [t or "" for t in ODD] + rare_words(30, 20) + ["".join(rng.choice(parts) for _ in range(8)) for _ in range(300)]
+    texts += [" ".join("aé"[k % 2] * n for k, n in enumerate(rng.choices(range(1, 20), k=40))) + "\nab\n" + "b" * k for k in range(20)]
+    for _ in range(3):
+        rng.shuffle(texts)
+        for at in range(0, len(texts), 90):
+            part = texts[at : at + 90]
+            assert [x.tolist() for x in own.encode(part)] == [e.ids for e in lib.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def test_token_store_splits_plain_texts_without_a_string_a_word():
+    own, texts = token_store.CachedEncoder(BPE), rare_words(40, 500)
+    want = [x.tolist() for x in own.encode(texts)]
+    own._encode_units = None  # nothing is new
+    tracemalloc.start()
+    try:
+        got = own.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x.tolist() for x in got] == want
+    assert len(own.known.numbers) == 0 and peak < 6e6
+
+
+def test_table_of_units_against_a_dictionary():
+    rng, table, known = np.random.default_rng(10), unit_ids._Table(2), {}
+    for _ in range(30):
+        low, high = rng.integers(1, 60, 300, dtype=np.uint64), rng.integers(0, 60, 300, dtype=np.uint64)
+        keys = list(zip(low.tolist(), high.tolist()))
+        assert table.find(low, high).tolist() == [known.get(k, -1) for k in keys]
+        new = [k for k in dict.fromkeys(keys) if k not in known]
+        known |= {k: len(known) + n for n, k in enumerate(new)}
+        table.put(*np.array(new, dtype=np.uint64).reshape(-1, 2).T, np.array([known[k] for k in new], dtype=np.int32))
+        assert table.count == len(known)
+
+
 def test_held_gives_freed_memory_back():
     def mb():
         return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
