@@ -68,7 +68,7 @@ class _Table:
         if 2 * (self.count + len(low)) > 1 << self.bits:
             have = np.flatnonzero(self.number >= 0)
             low, high, number = (np.concatenate([a[have], b]) for a, b in ((self.low, low), (self.high, high), (self.number, number)))
-            self.__init__((4 * len(low)).bit_length())
+            self.__init__((2 * len(low)).bit_length())
         self.count += len(low)
         at, last, left = self._at(low, high), (1 << self.bits) - 1, np.arange(len(low))
         while len(left):
